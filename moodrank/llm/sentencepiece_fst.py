@@ -27,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -259,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
     Each row on its own, so no key's rows meet. Null text gives null ids and null
     decoded; an empty text gives no ids. The text's own meta symbol comes back as
     a space, as the model has it."""
-    schema = docs.select(*keep, "text").schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*keep, "text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
