@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import START, SYMBOLS, ContextTables, sums
-from .common import encoded, forget, saved
+from .common import encoded, saved
 
 ORDER = 4
 REPEAT_BYTE = b"\xff"
@@ -199,10 +199,6 @@ class KneserNey:
         bits = known.select("code", (-F.log2(F.coalesce(p, factor * self.floor))).alias("b"))
         return runs.join(bits, "code").groupBy("row").agg(F.sum(F.col("m") * F.col("b")).alias("bits"))
 
-    def forget(self) -> None:
-        for t in (*self.counts.values(), *self.probabilities.values(), *self.weights.values()):
-            forget(t)
-
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents labelled good; the ids are broadcast only if they are few."""
@@ -210,9 +206,8 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(good) if labels.count() <= MOST_LABELS else good, "doc_id", "left_semi")
 
 
-def _scored(docs: DataFrame, model: KneserNey, sharded: bool | None) -> DataFrame:
-    """docs -> with n_symbols and bits."""
-    tables = None if sharded else model.tables()
+def _scored(docs: DataFrame, model: KneserNey, tables: ContextTables | None) -> DataFrame:
+    """docs(text, ...) -> with n_symbols and bits."""
     schema = docs.select("*").schema.add("n_symbols", "long").add("bits", "double")
     if tables is not None:
         shared = docs.sparkSession.sparkContext.broadcast(tables)
@@ -220,9 +215,7 @@ def _scored(docs: DataFrame, model: KneserNey, sharded: bool | None) -> DataFram
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 texts = [symbols(t or "") for t in pdf["text"]]
-                pdf["n_symbols"] = [len(t) for t in texts]
-                pdf["bits"] = sums(shared.value, texts)
-                yield pdf
+                yield pdf.assign(n_symbols=[len(t) for t in texts], bits=sums(shared.value, texts))
 
         return docs.mapInPandas(run, schema)
     rows = saved(docs.withColumn("row", F.uuid()), "kn-docs")
@@ -230,33 +223,34 @@ def _scored(docs: DataFrame, model: KneserNey, sharded: bool | None) -> DataFram
     return rows.join(model.joined_bits(rows), "row", "left").withColumn("n_symbols", length("text")).withColumn("bits", F.coalesce("bits", F.lit(0.0))).select(*schema.names)
 
 
-def score(docs: DataFrame, labels: DataFrame, sharded: bool | None = None) -> DataFrame:
-    """docs(doc_id, text, lang), labels(doc_id, quality) -> doc_id, lang, n_symbols, perplexity, threshold, kept.
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), sharded: bool = False) -> DataFrame:
+    """docs(doc_id, text, lang, *keep), labels(doc_id, quality) -> doc_id, lang, *keep, n_symbols, perplexity,
+    threshold, kept; with "text" in keep the text, too.
 
     A null, empty or blank text has no symbols, null perplexity and is not kept. A
     null lang is a language of its own; a language with few trusted documents goes by
     the threshold of all languages, and with no trusted text at all nothing is rejected.
     Rows that repeat are each scored. Null ids are not labelled; labels that repeat
-    count as good if one of them is. Columns of the same name as new ones must not exist."""
-    good = trusted(docs, labels)
-    model = KneserNey(run_counts(good.select("text")))
-    scored = _scored(docs.select("doc_id", "lang", "text"), model, sharded).drop("text")
-    scored = saved(scored, "kn-scores")
-    model.forget()
+    count as good if one of them is. Columns named as the new ones are not carried along."""
+    good = trusted(docs, labels).select("lang", "text")
+    model = KneserNey(run_counts(good))
+    tables = None if sharded else model.tables()
     rate = F.col("bits") / F.col("n_symbols")
-    calibration = trusted(scored.where("n_symbols > 0").withColumn("rate", rate), labels)
+    rates = saved(_scored(good, model, tables).where("n_symbols > 0").select("lang", rate.alias("rate")), "kn-rates")
     stats = [F.percentile_approx("rate", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("n")]
-    fences = calibration.groupBy("lang").agg(*stats)
-    everything = calibration.agg(*stats).head()
-    fence = lambda q: q[1] + FENCE * F.greatest(q[1] - q[0], F.lit(LEAST_SPREAD))
-    overall = F.lit(float("inf")) if not everything["n"] else F.lit(everything["q"][1] + FENCE * max(everything["q"][1] - everything["q"][0], LEAST_SPREAD))
-    fences = fences.where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("l_"), fence(F.col("q")).alias("fence"))
-    out = scored.join(fences, F.col("lang").eqNullSafe(F.col("l_")), "left").withColumn("fence", F.coalesce("fence", overall) + F.greatest(F.lit(SHORT) / F.sqrt("n_symbols") - SHORT_FREE, F.lit(0.0)))
+    everything = rates.agg(*stats).head()
+    fence = lambda low, high: high + FENCE * F.greatest(high - low, F.lit(LEAST_SPREAD))
+    overall = fence(*map(F.lit, everything["q"])) if everything["n"] else F.lit(float("inf"))
+    fences = rates.groupBy("lang").agg(*stats).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("l_"), fence(F.col("q")[0], F.col("q")[1]).alias("fence"))
+    columns = list(dict.fromkeys(["doc_id", "lang", "text", *keep]))
+    scored = _scored(docs.select(*columns), model, tables)
+    short = F.greatest(F.lit(SHORT) / F.sqrt("n_symbols") - SHORT_FREE, F.lit(0.0))
+    # One row a language that has trusted documents.
+    out = scored.join(saved(fences, "kn-fences"), F.col("lang").eqNullSafe(F.col("l_")), "left").withColumn("fence", F.coalesce("fence", overall) + short)
     return out.select(
-        "doc_id",
-        "lang",
+        *[c for c in columns if c != "text" or c in keep],
         "n_symbols",
         F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), rate)).alias("perplexity"),
-        F.pow(F.lit(2.0), F.col("fence")).alias("threshold"),
+        F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), F.col("fence"))).alias("threshold"),
         ((F.col("n_symbols") > 0) & (rate <= F.col("fence"))).alias("kept"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language_id, mixing, quality, sentencepiece_fst, substring_dedup, token_counts, topk_search
+from . import chat, embedding_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_fst, substring_dedup, token_counts, topk_search
 from .common import read
 
 
@@ -49,9 +49,13 @@ def op8_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_topk, op4_sentencepiece, op5_source_mix, op6_chat_format, op7_language_id, op8_quality_kn, op10_token_counts)}
-ORACLE_SQL = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_topk": topk_search.ORACLE, "op5_source_mix": mixing.ORACLE, "op6_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_topk, op4_sentencepiece, op5_source_mix, op6_chat_format, op7_language_id, op8_quality_kn, op9_jaccard_join, op10_token_counts)}
+ORACLE_SQL = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_topk": topk_search.ORACLE, "op5_source_mix": mixing.ORACLE, "op6_chat_format": chat.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
