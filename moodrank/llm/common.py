@@ -5,11 +5,15 @@ from __future__ import annotations
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word, as a pattern of Java and RE2 alike. ``bytes.split()`` cuts the same."""
@@ -122,3 +126,21 @@ def plane_unpacked(blob: bytes) -> np.ndarray:
 def text_size(docs: DataFrame) -> int:
     """Bytes of text in all rows; sizes the number of buckets."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """docs with its column text compressed, as `z`: half as much to shuffle as Spark's own codec makes of it."""
+    columns = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*docs.select(*columns).schema, T.StructField("z", T.BinaryType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
+        for pdf in batches:
+            z = [None if t is None else press.compress(encoded(t)) for t in pdf["text"]]
+            yield pdf[columns].assign(z=pd.Series(z, pdf.index, object))
+
+    return docs.select(*columns, "text").mapInPandas(run, schema)
+
+
+def opened(z: bytes) -> str:
+    return zstandard.decompress(z).decode("utf-8", "surrogatepass")

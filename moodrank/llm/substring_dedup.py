@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, encoded, packed, plane_packed, plane_unpacked, power_of_two, text_size, unpacked, window_hashes
+from .common import WordHashes, encoded, opened, packed, plane_packed, plane_unpacked, power_of_two, squeezed, text_size, unpacked, window_hashes
 
 WIDTH = 13
 BLOCK_BYTES = 24_000_000
@@ -198,15 +198,16 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_
     hits = hits.groupBy("doc_id", "key").agg(F.collect_list("blob").alias("blobs"))
     # Null ids join on their text's key, so that many of them are not one key.
     no_id = F.col("doc_id").isNull()
-    left = rows.withColumns({"j": F.coalesce(F.col("doc_id").cast("long"), F.col("key").cast("long")), "no_id": no_id})
+    left = squeezed(rows).withColumns({"j": F.coalesce(F.col("doc_id").cast("long"), F.col("key").cast("long")), "no_id": no_id})
     right = hits.select(F.col("doc_id").alias("j"), "key", F.lit(False).alias("no_id"), "blobs")
-    joined = left.join(right, ["j", "key", "no_id"], "left").select("doc_id", *keep, "text", "blobs")
+    joined = left.join(right, ["j", "key", "no_id"], "left").select("doc_id", *keep, "z", "blobs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
             n, removed, spans, kept = [], [], [], []
-            for text, blobs in zip(pdf["text"], pdf["blobs"]):
+            texts = [None if z is None else opened(z) for z in pdf["z"]]
+            for text, blobs in zip(texts, pdf["blobs"]):
                 raw = encoded(text).split() if text is not None else []
                 own = factors(raw, blobs, words) if blobs is not None else []
                 left_over = raw
@@ -220,8 +221,8 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_
                 removed.append(len(raw) - len(left_over))
                 spans.append([x for s in own for x in s])
                 kept.append(b" ".join(left_over).decode("utf-8", "surrogatepass"))
-            pdf = pdf.drop(columns="blobs")
-            yield pdf.assign(n_words=n, n_removed=removed, spans=spans, kept_text=kept)
+            pdf = pdf.drop(columns=["z", "blobs"])
+            yield pdf.assign(text=pd.Series(texts, pdf.index, object), n_words=n, n_removed=removed, spans=spans, kept_text=kept)
 
     schema = docs.select("doc_id", *keep, "text").schema.add("n_words", "long").add("n_removed", "long").add("spans", T.ArrayType(T.IntegerType())).add("kept_text", "string")
     return joined.mapInPandas(run, schema)
