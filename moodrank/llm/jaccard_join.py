@@ -11,7 +11,7 @@ one for most lists of a group of copies. Sets linked so are one component, and a
 reachable from all: the second round enumerates lists completely, but pairs inside a component are derived,
 not computed. What is left crosses components and is verified on the whole sets, every pair.
 
-Equal sets are one node. Lists travel as blobs by hash range; texts of listed sets are stored once.
+Equal sets are one node. Lists travel as blobs by hash range; texts of sets to compare are stored once a round.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, encoded, forget, mixed, packed, plane_packed, plane_unpacked, power_of_two, saved, text_size, unpacked, window_hashes
+from .common import LOWER, WordHashes, encoded, forget, mixed, opened, packed, plane_packed, plane_unpacked, power_of_two, saved, squeezed, text_size, unpacked, window_hashes
 from .components import components
 
 WIDTH = 4
@@ -296,18 +296,18 @@ class Lists:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs(a, b) -> a, b, linked, on the whole sets."""
-    left = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
+    """pairs(a, b), texts(sig, z) -> a, b, linked, on the whole sets."""
+    left = texts.select(F.col("sig").alias("a"), F.col("z").alias("text_a"))
+    right = texts.select(F.col("sig").alias("b"), F.col("z").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, kept = WordHashes(), {}
 
-        def of(sig: int, text: str) -> np.ndarray:
+        def of(sig: int, text: bytes) -> np.ndarray:
             runs = kept.get(sig)
             if runs is None:
-                runs = runs_of(text, words, width)
+                runs = runs_of(opened(text), words, width)
                 if len(kept) >= 2000:
                     kept.pop(next(iter(kept)))
                 kept[sig] = runs
@@ -342,8 +342,12 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     listed = lists.select("bucket", F.explode("sigs").alias("sig"))
     firsts = sets.where(F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    firsts = firsts.join(listed.select("sig").distinct(), "sig", "left_semi").select("sig", "first.doc_id", "first.key")
-    texts = saved(able.join(firsts, ["doc_id", "key"]).groupBy("sig").agg(F.first("text").alias("text")), "jaccard-texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """The text of one document of each set in pairs."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        of = firsts.join(needed, "sig", "left_semi").select("sig", "first.doc_id", "first.key")
+        return saved(squeezed(able).join(of, ["doc_id", "key"]).select("sig", "z"), "jaccard-texts")
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -354,7 +358,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     # Towards the pair's smaller signature hash on both sides, so that a pair is one row.
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = saved(_verified(ordered(lists.select("blob").mapInPandas(stars, "a long, b long")), texts, width, percent), "jaccard-first")
+    pairs = saved(ordered(lists.select("blob").mapInPandas(stars, "a long, b long")), "jaccard-pairs")
+    texts = texts_of(pairs)
+    first = saved(_verified(pairs, texts, width, percent), "jaccard-first")
+    forget(texts)
     labels = components(first.where("linked").select("a", "b"))
 
     def across(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -371,7 +378,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     named = listed.join(labels.withColumnRenamed("node", "sig"), "sig").select((F.col("bucket") + 0).alias("bucket"), F.col("sig").alias("node"), "component")
     rest = lists.select("bucket", "blob").groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(across, "a long, b long")
-    rest = ordered(rest).join(first, ["a", "b"], "left_anti")
+    rest = saved(ordered(rest).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    texts = texts_of(rest)
     second = saved(_verified(rest, texts, width, percent), "jaccard-second")
     links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
     parts = components(links)
