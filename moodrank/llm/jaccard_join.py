@@ -6,10 +6,10 @@ sets hold runs of that counter), then by hash. Two similar sets share a run amon
 
 Index-level skipping: a list goes by position, in blocks that carry their least position and sizes; for a
 set at position i, blocks are skipped whole whose positions leave too few runs behind for the overlap asked.
-Answer-level skipping: a first round compares every set of a list only with one set of the list, the same
-one for most lists of a group of copies. Sets linked so are one component, and an answer of one is
-reachable from all: the second round enumerates lists completely, but pairs inside a component are derived,
-not computed. What is left crosses components and is verified on the whole sets, every pair.
+Answer-level skipping: the first rounds compare every set of a list only with a few sets of the list, the same
+ones for most lists of a group of copies, others in each round. Sets linked so are one component, and an answer
+of one is reachable from all: the last round enumerates lists completely, but pairs inside a component are
+derived, not computed. What is left crosses components and is verified on the whole sets, every pair.
 
 Equal sets are one node. Lists travel as blobs by hash range; texts of sets to compare are stored once a round.
 """
@@ -38,6 +38,8 @@ COUNTER_CHUNK = 1 << 16
 LIST_BYTES = 30_000_000
 """Bytes of text whose index entries one task holds, about."""
 GROUP_SETS = 20_000
+TURNS, SEEDS = 4, 10
+"""Rounds that compare the sets of a list with a few of them, before the complete one."""
 BLOCK = 256
 """Entries of a list that are skipped or compared at once."""
 
@@ -234,18 +236,29 @@ class Lists:
         pairs = np.unique(a * len(self.sig) + b)
         return pairs // max(1, len(self.sig)), pairs % max(1, len(self.sig))
 
-    def stars(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every set of a list with the one of least signature hash in it."""
+    def stars(self, label: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every set of a list with the one of least hash in it; after the first turn with SEEDS more
+        of them in each turn, and of any two labels only so many pairs, SEEDS times as many in each turn."""
         if not len(self.length):
             return self.unique([])
         starts = np.cumsum(self.length) - self.length
         which = np.repeat(np.arange(len(self.length)), self.length)
-        rank = mixed(self.sig.view(np.uint64)).argsort().argsort()[self.owner]
-        least = np.minimum.reduceat(rank, starts)
-        seed = np.flatnonzero(rank == least[which])  # one in each list, in order
-        s = seed[which]
-        ok = (s != np.arange(len(s))) & self.can(self.owner[s], self.place[s], self.owner, self.place)
-        return self.unique([(self.owner[s[ok]], self.owner[ok])])
+        found = []
+        for k in range(SEEDS * turn or 1):
+            rank = mixed(self.sig.view(np.uint64) + np.uint64(turn * 1000 + k)).argsort().argsort()[self.owner]
+            seed = np.flatnonzero(rank == np.minimum.reduceat(rank, starts)[which])  # one in each list, in order
+            s = seed[which]
+            ok = (label[self.owner[s]] != label[self.owner]) & self.can(self.owner[s], self.place[s], self.owner, self.place)
+            found.append((self.owner[s[ok]], self.owner[ok]))
+        a, b = self.unique(found)
+        if turn and len(a):
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            order = np.lexsort((mixed(self.sig[a].view(np.uint64) ^ self.sig[b].view(np.uint64)), high, low))
+            a, b, low, high = a[order], b[order], low[order], high[order]
+            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            nth = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate([first, [len(a)]])))
+            a, b = a[nth < SEEDS**turn], b[nth < SEEDS**turn]
+        return a, b
 
     def across(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every pair of a list with different labels that can link."""
@@ -349,42 +362,35 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         of = firsts.join(needed, "sig", "left_semi").select("sig", "first.doc_id", "first.key")
         return saved(squeezed(able).join(of, ["doc_id", "key"]).select("sig", "z"), "jaccard-texts")
 
-    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for blob in pdf["blob"]:
+    def compared(select) -> DataFrame:
+        """Pairs of each bucket by select(lists, labels)."""
+
+        def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
+            for blob in left["blob"]:
                 own = Lists(blob, percent)
-                a, b = own.stars()
-                yield pd.DataFrame({"a": own.sig[a], "b": own.sig[b]})
+                label = own.sig.copy()
+                label[np.searchsorted(own.sig, right["node"].to_numpy())] = right["component"].to_numpy()
+                a, b = select(own, label)
+                out.append(pd.DataFrame({"a": own.sig[a], "b": own.sig[b]}))
+            return pd.concat(out)
+
+        return lists.select("bucket", "blob").groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(run, "a long, b long")
 
-    # Towards the pair's smaller signature hash on both sides, so that a pair is one row.
+    # The smaller signature first, so that a pair is one row.
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = saved(ordered(lists.select("blob").mapInPandas(stars, "a long, b long")), "jaccard-pairs")
-    texts = texts_of(pairs)
-    first = saved(_verified(pairs, texts, width, percent), "jaccard-first")
-    forget(texts)
-    labels = components(first.where("linked").select("a", "b"))
-
-    def across(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for blob in left["blob"]:
-            own = Lists(blob, percent)
-            label = own.sig.copy()
-            if len(right):
-                at = np.searchsorted(own.sig, right["node"].to_numpy())
-                label[at] = right["component"].to_numpy()
-            a, b = own.across(label)
-            out.append(pd.DataFrame({"a": own.sig[a], "b": own.sig[b]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
-    named = listed.join(labels.withColumnRenamed("node", "sig"), "sig").select((F.col("bucket") + 0).alias("bucket"), F.col("sig").alias("node"), "component")
-    rest = lists.select("bucket", "blob").groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(across, "a long, b long")
-    rest = saved(ordered(rest).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    texts = texts_of(rest)
-    second = saved(_verified(rest, texts, width, percent), "jaccard-second")
-    links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
-    parts = components(links)
-    for table in (lists, texts):
-        forget(table)
+    done = parts = None
+    for turn in range(TURNS + 1):
+        named = listed.withColumn("component", F.lit(None).cast("long")).where("false") if parts is None else listed.join(parts.withColumnRenamed("node", "sig"), "sig")
+        named = named.select((F.col("bucket") + 0).alias("bucket"), F.col("sig").alias("node"), "component")
+        found = ordered(compared((lambda own, label, turn=turn: own.stars(label, turn)) if turn < TURNS else Lists.across))
+        pairs = saved(found if done is None else found.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        texts = texts_of(pairs)
+        own = saved(_verified(pairs, texts, width, percent), "jaccard-links")
+        forget(texts)
+        done = own if done is None else done.unionByName(own)
+        parts = components(done.where("linked").select("a", "b"))
+    forget(lists)
     rooted = sets.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "key", "n", F.coalesce("component", "sig").alias("root"))
     named = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
