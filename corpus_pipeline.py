@@ -22,10 +22,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies, the one with the smallest id; all without an id."""
     found = saved(jaccard_join.join(docs), "pipeline-groups")
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
-    keyed = docs.withColumn("key", F.hash("text"))
-    kept = keyed.join(first.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
+    keyed = docs.withColumn("_key", F.hash("text"))
+    kept = keyed.join(first.select("doc_id", F.col("key").alias("_key")), ["doc_id", "_key"], "left_semi")
     if first.where("n > 1").limit(1).count():  # ids that repeat
-        kept = kept.dropDuplicates(["doc_id", "key"])
+        kept = kept.dropDuplicates(["doc_id", "_key"])
     return kept.unionByName(keyed.where("doc_id IS NULL")).select(*docs.columns)
 
 
@@ -41,13 +41,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    keyed = docs.withColumn("key", F.hash("text"))
-    weighed = mixing.labelled(keyed.select("doc_id", "key", "text", "source"), read(spark, sf_dir, "labels"))
-    mix = mixing.mix(weighed, mixing.quality_weight(F.col("_quality")), keep=("key",))
+    keyed = docs.withColumn("_key", F.hash("text"))
+    weighed = mixing.labelled(keyed.select("doc_id", "_key", "text", "source"), read(spark, sf_dir, "labels"))
+    mix = mixing.mix(weighed, mixing.quality_weight(F.col("_quality")), keep=("_key",))
     # Rows that repeat are taken equally often.
-    times = mix.groupBy("doc_id", "key").agg(F.max("epochs").alias("epochs")).where("epochs > 0")
-    times = times.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "epochs")
-    taken = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")))
+    times = mix.groupBy("doc_id", "_key").agg(F.max("epochs").alias("epochs")).where("epochs > 0")
+    times = times.select(F.col("doc_id").alias("id_"), F.col("_key").alias("key_"), "epochs")
+    taken = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("_key") == F.col("key_")))
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("epoch")).drop("epoch")
 
 

@@ -87,12 +87,9 @@ def sums(tables: ContextTables, texts: list[bytes | np.ndarray], most: int = 4_0
 
     for i, text in enumerate(texts):
         if len(text) > most:
+            symbols, _ = stream([text])
             for at in range(0, len(text), most):
-                part = text[max(0, at - 3) : at + most]
-                symbols = np.frombuffer(part, np.uint8).astype(np.int16) if isinstance(part, bytes) else part
-                if at == 0:
-                    symbols = np.concatenate([np.full(3, START, np.int16), symbols])
-                out[i] += tables.costs(symbols).sum(axis=0, dtype=np.float64)
+                out[i] += tables.costs(symbols[at : at + most + 3]).sum(axis=0, dtype=np.float64)
             continue
         if not len(text):
             continue

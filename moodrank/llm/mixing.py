@@ -92,14 +92,14 @@ def mix(
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
     key = -F.log(uniform(F.col("doc_id"), seed)) / w
     # Ids that repeat share a key; the row's place within them is of no account.
-    sized = saved(docs.select("doc_id", *keep, "source", word_count().alias("size"), key.alias("_key")), "mix")
+    sized = saved(docs.select("doc_id", *keep, "source", word_count().alias("size"), key.alias("_order")), "mix")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = saved(targets, "mix-targets").select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     by_source = lambda left, right: left.join(right.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
     rows = by_source(sized, F.broadcast(targets) if targets.count() <= 100_000 else targets)
     # exp(-key) is uniform for weight 1 and falls as the key rises.
-    rows = rows.withColumn("x", 1 - F.exp(-F.col("_key")))
+    rows = rows.withColumn("x", 1 - F.exp(-F.col("_order")))
     rows, ends = _border(rows, F.col("x"))
     rows = by_source(rows, ends.withColumnsRenamed({"end": "end1", "before": "before1"})).withColumn("b1", F.col("b"))
     inner = rows.where(F.col("b1") == F.col("end1")).withColumn("rest", F.col("rest") - F.col("before1"))
@@ -115,7 +115,7 @@ def mix(
         .otherwise("border")
     )
     rows = rows.withColumn("state", state)
-    within = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("rest") - F.col("before1") - F.col("before2")
     border = rows.where(F.col("state") == "border").withColumn("fits", F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2.0 <= room)
     settled = rows.where(F.col("state") != "border").withColumn("fits", F.col("state") == "in")

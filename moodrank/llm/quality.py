@@ -235,16 +235,17 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), sharde
     good = trusted(docs, labels).select("lang", "text")
     model = KneserNey(run_counts(good))
     tables = None if sharded else model.tables()
-    rate = F.col("bits") / F.col("n_symbols")
+    rate = F.try_divide("bits", "n_symbols")
     rates = saved(_scored(good, model, tables).where("n_symbols > 0").select("lang", rate.alias("rate")), "kn-rates")
     stats = [F.percentile_approx("rate", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("n")]
     everything = rates.agg(*stats).head()
     fence = lambda low, high: high + FENCE * F.greatest(high - low, F.lit(LEAST_SPREAD))
     overall = fence(*map(F.lit, everything["q"])) if everything["n"] else F.lit(float("inf"))
     fences = rates.groupBy("lang").agg(*stats).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("l_"), fence(F.col("q")[0], F.col("q")[1]).alias("fence"))
-    columns = list(dict.fromkeys(["doc_id", "lang", "text", *keep]))
+    new = ("n_symbols", "bits", "perplexity", "threshold", "kept", "l_", "fence")
+    columns = list(dict.fromkeys(["doc_id", "lang", "text", *[c for c in keep if c not in new]]))
     scored = _scored(docs.select(*columns), model, tables)
-    short = F.greatest(F.lit(SHORT) / F.sqrt("n_symbols") - SHORT_FREE, F.lit(0.0))
+    short = F.greatest(F.lit(SHORT) / F.sqrt(F.greatest("n_symbols", F.lit(1))) - SHORT_FREE, F.lit(0.0))
     # One row a language that has trusted documents.
     out = scored.join(saved(fences, "kn-fences"), F.col("lang").eqNullSafe(F.col("l_")), "left").withColumn("fence", F.coalesce("fence", overall) + short)
     return out.select(
