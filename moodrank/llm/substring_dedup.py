@@ -32,6 +32,8 @@ BLOCK_BYTES = 24_000_000
 """Bytes of text whose windows one reference block holds, about."""
 GROUP_BYTES = 12_000_000
 """Bytes of text whose windows are sorted at once in a Python worker, about."""
+MOST_SHARDS = 8192
+"""Shards of documents that the blocks' findings are gathered in, one for each block up to this many."""
 
 
 def _positions(at: np.ndarray) -> bytes:
@@ -129,6 +131,33 @@ def _windows(blocks: int):
     return run
 
 
+def _packed_rows(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """(doc_id, key, blob) rows as one row a shard of documents: ids, keys, sizes and blobs."""
+    ids = rows["doc_id"].to_numpy(np.int64)
+    shard = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    keys, blobs = rows["key"].to_numpy(np.int32), rows["blob"].to_numpy()
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    out = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+        at = order[lo:hi]
+        mine = [blobs[i] for i in at]
+        out.append((int(shard[at[0]]), struct.pack("<I", len(at)) + ids[at].tobytes() + keys[at].tobytes() + np.array([len(b) for b in mine], np.uint32).tobytes() + b"".join(mine)))
+    return pd.DataFrame(out, columns=["shard", "blob"])
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What all blocks found for the documents of a shard, one row a document."""
+    found: dict[tuple[int, int], list[bytes]] = {}
+    for blob in pdf["blob"]:
+        (n,) = struct.unpack_from("<I", blob)
+        ids, keys, sizes = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.int32, n, 4 + 8 * n), np.frombuffer(blob, np.uint32, n, 4 + 12 * n)
+        ends = (4 + 16 * n + np.cumsum(sizes, dtype=np.int64)).tolist()
+        for doc_id, key, lo, hi in zip(ids.tolist(), keys.tolist(), [4 + 16 * n, *ends], ends):
+            found.setdefault((doc_id, key), []).append(blob[lo:hi])
+    return pd.DataFrame({"doc_id": [k[0] for k in found], "key": [k[1] for k in found], "blobs": list(found.values())})
+
+
 def _reference_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """All slices of one block -> (doc_id, key, positions) that have a smaller document, and the rows
     of known positions as they are."""
@@ -194,8 +223,9 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_
     rows = docs.select("doc_id", *keep, "text", F.hash("text").alias("key"))
     blocks = power_of_two(text_size(docs) / block_bytes)
     sent = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "key", "text").mapInPandas(_windows(blocks), "place int, doc_id long, key int, blob binary")
-    hits = sent.groupBy("place").applyInPandas(_reference_block, "doc_id long, key int, blob binary")
-    hits = hits.groupBy("doc_id", "key").agg(F.collect_list("blob").alias("blobs"))
+    shards = min(blocks, MOST_SHARDS)
+    hits = sent.groupBy("place").applyInPandas(lambda pdf: _packed_rows(_reference_block(pdf), shards), "shard int, blob binary")
+    hits = hits.groupBy("shard").applyInPandas(_gathered, "doc_id long, key int, blobs array<binary>")
     # Null ids join on their text's key, so that many of them are not one key.
     no_id = F.col("doc_id").isNull()
     left = squeezed(rows).withColumns({"j": F.coalesce(F.col("doc_id").cast("long"), F.col("key").cast("long")), "no_id": no_id})
