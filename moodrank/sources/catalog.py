@@ -6,15 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import char_set, face_id, parsed_id
 
 TABLES = ["items", "terms", "neighbours", "postings", "phrases", "canonical", "boosts", "aliases"]
-ITEM = T.StructType.fromDDL(
-    "face_id BIGINT, text STRING, r ARRAY<FLOAT>, multi FLOAT, cute FLOAT, intensity FLOAT, suggestive FLOAT, lenny FLOAT, face FLOAT, quality FLOAT, crude FLOAT, len INT, chars ARRAY<STRING>, words ARRAY<STRUCT<word STRING, tier TINYINT>>"
-)
+ITEM = [
+    ("face_id", "BIGINT"), ("text", "STRING"), ("r", "ARRAY<FLOAT>"), ("multi", "FLOAT"), ("cute", "FLOAT"), ("intensity", "FLOAT"), ("suggestive", "FLOAT"), ("lenny", "FLOAT"),
+    ("face", "FLOAT"), ("quality", "FLOAT"), ("crude", "FLOAT"), ("len", "INT"), ("chars", "ARRAY<STRING>"), ("words", "ARRAY<STRUCT<word STRING, tier TINYINT>>"),
+]
 EMOTION_COUNT = 19
 
 
