@@ -67,7 +67,7 @@ class Model(dict):
     """Pieces, ranks and normaliser of a model file whose pieces are merged by rank; itself
     the outputs of words met before."""
 
-    most = 400_000
+    most = 500_000
 
     def __init__(self, blob: bytes):
         self.pieces: list[str] = []
@@ -196,20 +196,26 @@ class Model(dict):
         """Output for one meta symbol and a word, or a space (a run's second and so on)
         before it: cut where no arc can cross, then the shortest path of each part."""
         text, beside, parts = (SPACE + word).replace(" ", SPACE), self.beside, self.parts
-        if len(parts) > self.most:
+        if len(parts) > self.most // 4:
             parts.clear()
         if len(self) > self.most:
             self.clear()
+        if word.isalpha():  # a cut would only help to meet a part again
+            out = self.path(text)
+            if len(word) <= 64:
+                self[word] = out
+            return out
         cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in beside), len(text)]
-        out: tuple[int, ...] = ()
         pieces = []
         for i, j in zip(cuts, cuts[1:]):
             part = text[i:j]
-            ids = parts.get(part)
+            # A first part of a meta symbol and letters is a word that may stand alone elsewhere.
+            known, key = (self, part[1:]) if not i and part[1:].isalpha() else (parts, part)
+            ids = known.get(key)
             if ids is None:
                 ids = self.path(part)
                 if j - i <= 64:
-                    parts[part] = ids
+                    known[key] = ids
             pieces.append(ids)
         out = tuple(chain.from_iterable(pieces))
         if len(word) <= 64:
