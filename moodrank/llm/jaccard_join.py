@@ -39,7 +39,10 @@ LIST_BYTES = 30_000_000
 """Bytes of text whose index entries one task holds, about."""
 GROUP_SETS = 20_000
 TURNS, SEEDS = 4, 10
-"""Rounds that compare the sets of a list with a few of them, before the complete one."""
+"""Rounds that compare the sets of a list with a few of them, before the complete one: so many at most."""
+LEAST_LINKED = 0.05
+"""A round that links a smaller share of what it compares is the last one before the complete one: later ones
+would mostly meet the same pairs again, which the complete round looks at anyway."""
 BLOCK = 256
 """Entries of a list that are skipped or compared at once."""
 
@@ -380,7 +383,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     # The smaller signature first, so that a pair is one row.
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = parts = None
-    for turn in range(TURNS + 1):
+    turn = 0
+    while True:
         named = listed.withColumn("component", F.lit(None).cast("long")).where("false") if parts is None else listed.join(parts.withColumnRenamed("node", "sig"), "sig")
         named = named.select((F.col("bucket") + 0).alias("bucket"), F.col("sig").alias("node"), "component")
         found = ordered(compared((lambda own, label, turn=turn: own.stars(label, turn)) if turn < TURNS else Lists.across))
@@ -390,6 +394,11 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         forget(texts)
         done = own if done is None else done.unionByName(own)
         parts = components(done.where("linked").select("a", "b"))
+        if turn < TURNS:
+            share = own.agg(F.avg(F.col("linked").cast("double"))).head()[0] or 0.0
+            turn = turn + 1 if share >= LEAST_LINKED else TURNS
+        else:
+            break
     forget(lists)
     rooted = sets.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "key", "n", F.coalesce("component", "sig").alias("root"))
     named = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL")
