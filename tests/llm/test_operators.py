@@ -119,6 +119,14 @@ def test_jaccard_join(spark, docs, doc_rows):
     assert jaccard_join.join(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("least", [0.0, 2.0])
+def test_jaccard_join_is_whole_after_many_or_few_rounds(docs, doc_rows, monkeypatch, least):
+    """All star rounds, or only the first one before the complete one."""
+    monkeypatch.setattr(jaccard_join, "LEAST_LINKED", least)
+    got = jaccard_join.join(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_expected(doc_rows)
+
+
 def test_jaccard_lists_find_every_pair():
     """Prefixes, positions and blocks lose no pair, for many sizes and list lengths."""
     rnd = random.Random(3)
