@@ -12,6 +12,10 @@ from moodrank.llm import jaccard_join, mixing, quality, sentencepiece_fst, subst
 from moodrank.llm.common import read, saved
 
 
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+"""What counts as a near copy here; op 9's own query keeps the join's narrower default."""
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity stays below their language's threshold."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
@@ -20,7 +24,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; all without an id."""
-    found = saved(jaccard_join.join(docs), "pipeline-groups")
+    found = saved(jaccard_join.join(docs, NEAR_WIDTH, NEAR_PERCENT), "pipeline-groups")
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     keyed = docs.withColumn("_key", F.hash("text"))
     kept = keyed.join(first.select("doc_id", F.col("key").alias("_key")), ["doc_id", "_key"], "left_semi")
