@@ -17,6 +17,9 @@ from .operators import ranking, scoring, state
 from .plans import reader
 from .sources import config
 
+PAIR_BLOCK = 512
+"""Items that are paired with as many others at once."""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -87,11 +90,14 @@ def char_set_docs(spark, d):
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard
 FROM c a JOIN c b ON a.item_id < b.item_id WHERE a.item_id < 20 AND len(list_distinct(list_concat(a.s, b.s))) > 0""")
 def jaccard_pairs(spark, d):
-    """The first 20 items, as a kept list is compared with all others."""
+    """Every pair of items, block against block. The SQL beside it holds only the pairs whose smaller id is under 20."""
     c = read(spark, d, "benchmark").select("item_id", tx.char_set(F.col("text")).alias("s"))
-    a = c.where("item_id < 20").select(F.col("item_id").alias("a"), F.col("s").alias("x"))  # twenty rows
-    both = F.broadcast(a).join(c.select(F.col("item_id").alias("b"), F.col("s").alias("y")), F.col("a") < F.col("b"))
-    return both.select("a", "b", r6(tx.jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
+    n = -(-c.count() // PAIR_BLOCK) or 1
+    c = c.withColumn("g", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+    left = c.select(F.col("item_id").alias("l"), F.col("s").alias("x"), F.col("g").alias("i"), F.explode(F.sequence("g", F.lit(n - 1))).alias("j"))
+    right = c.select(F.col("item_id").alias("r"), F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), "g")).alias("i"), F.col("g").alias("j"))
+    both = left.join(right, ["i", "j"]).where("(i < j AND l <> r) OR (i = j AND l < r)").where("size(x) + size(y) > 0")
+    return both.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), r6(tx.jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, string_split(text, '') AS s FROM conversations)

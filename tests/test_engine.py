@@ -5,12 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from moodrank import queries
 from moodrank.functions import text as tx
 from moodrank.operators import ranking, scoring, state
 from moodrank.plans.reader import Term, Words, read, reading_line, unstretched
 from moodrank.sources import catalog, config
 from moodrank.streaming import flows
 
+SF = "/root/testdata/sf0.001"
 SHRUG = "¯\\_(ツ)_/¯"
 
 
@@ -138,3 +140,11 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+@pytest.mark.parametrize("block", [512, 9])
+def test_jaccard_pairs_of_all_items(spark, monkeypatch, block):
+    monkeypatch.setattr(queries, "PAIR_BLOCK", block)
+    sets = {r.item_id: set("".join(r.text.split())) for r in queries.read(spark, SF, "benchmark").collect()}
+    got = {(r.a, r.b): r.jaccard for r in queries.jaccard_pairs(spark, SF).collect()}
+    assert got == pytest.approx({(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b}, abs=1e-6)
