@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,25 @@ def test_jaccard_pairs_of_all_items(spark, monkeypatch, block):
     sets = {r.item_id: set("".join(r.text.split())) for r in queries.read(spark, SF, "benchmark").collect()}
     got = {(r.a, r.b): r.jaccard for r in queries.jaccard_pairs(spark, SF).collect()}
     assert got == pytest.approx({(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b}, abs=1e-6)
+
+
+@pytest.mark.parametrize("block", [8192, 90])
+def test_lists_and_credit_of_all_terms(spark, monkeypatch, block):
+    monkeypatch.setattr(queries, "VECTOR_BLOCK", block)
+    rows = sorted((r.vec_id, r.embedding) for r in queries.read(spark, SF, "embeddings").collect())
+    ids, e = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
+    e /= np.sqrt((e * e).sum(axis=1, keepdims=True))
+    lists = {}
+    for i, s in zip(ids, np.round(e @ e.T, 6)):
+        lists[i] = sorted((x for x in ids if x != i), key=lambda x: (-s[ids.index(x)], x))[:32]
+    got = {(r.term, r["rank"]): r.item for r in queries.dense_topk_lists(spark, SF).collect()}
+    assert got == {(i, n): x for i, items in lists.items() for n, x in enumerate(items)}
+    whole, credit = {}, {}
+    for c in (r.c_custkey for r in queries.read(spark, SF, "customer").collect()):
+        if c % 5 and c in lists:
+            w = 0.5 + c % 2 * 0.5
+            whole[c % 8] = whole.get(c % 8, 0) + w
+            for n, x in enumerate(lists[c]):
+                credit[c % 8, x] = credit.get((c % 8, x), 0) + w / (1 + n / 10)
+    found = {(r.qid, r.item): r.credit for r in queries.dense_credit(spark, SF).collect()}
+    assert found == pytest.approx({k: v / whole[k[0]] for k, v in credit.items()}, abs=2e-6)
