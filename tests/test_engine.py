@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from moodrank import queries
 from moodrank.functions import text as tx
 from moodrank.operators import ranking, scoring, state
-from moodrank.plans.reader import Term, Words, read, reading_line, unstretched
+from moodrank.plans.reader import SMALL, Term, Words, read, reading_line, unstretched
 from moodrank.sources import catalog, config
 from moodrank.streaming import flows
 
@@ -171,3 +171,17 @@ def test_lists_and_credit_of_all_terms(spark, monkeypatch, block):
                 credit[c % 8, x] = credit.get((c % 8, x), 0) + w / (1 + n / 10)
     found = {(r.qid, r.item): r.credit for r in queries.dense_credit(spark, SF).collect()}
     assert found == pytest.approx({k: v / whole[k[0]] for k, v in credit.items()}, abs=2e-6)
+
+
+def test_queries_have_all_their_words(spark, tmp_path):
+    text = "one two three four five six seven happy zebra"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(10, "zebra"), (11, "a b zebra"), (12, "none"), (13, "one")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(11, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.word for r in queries.query_words(spark, str(tmp_path)).collect()} == set(text.split())
+    assert {(r.item, r.credit) for r in queries.lexical_credit(spark, str(tmp_path)).collect()} == {(10, 1.0), (11, 0.5), (13, 1.0)}
+    found = sorted((r["rank"], r.doc_id, r.score) for r in queries.search_batch(spark, str(tmp_path)).collect())
+    assert found == [(0, 10, 0.2), (1, 13, 0.2), (2, 11, 0.16)]
+    row = queries.read_queries(spark, str(tmp_path)).head()
+    assert row.reading == reading_line(read(text, SMALL)) and "zebra" in row.lexical and "happy" in row.reading
