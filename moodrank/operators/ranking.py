@@ -67,9 +67,10 @@ def thinned(scored: DataFrame, key: str, by: tuple[str, ...], thinning: str = "n
         return rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count("*").alias("n")).select(*by, "n", _fold(F.col("items"), threshold).alias("kept"))
 
     head = folded(order.where(F.col("rank") < HEAD * want))
-    short = head.where((F.size("kept") < want) & (F.col("n") >= HEAD * want))
-    again = folded(order.join(short.select(*by), list(by), "left_semi")) if by else folded(order.where(F.lit(False)))
-    full = head.join(short.select(*by), list(by), "left_anti") if by else head
+    is_short = (F.size("kept") < want) & (F.col("n") >= HEAD * want)
+    short = head.where(is_short)
+    again = folded(order.join(short.select(*by), list(by), "left_semi") if by else order.crossJoin(F.broadcast(short.select(F.lit(1).alias("_short")))))  # one row or none
+    full = head.join(short.select(*by), list(by), "left_anti") if by else head.where(~is_short)
     rows = full.unionByName(again).select(*by, F.posexplode(F.slice("kept", 1, want)).alias("rank", "k"))
     return rows.where(F.col("rank") >= offset).select(*by, F.col(f"k.{key}").alias(key), F.col("k.score").alias("score"), "rank")
 

@@ -185,3 +185,10 @@ def test_queries_have_all_their_words(spark, tmp_path):
     assert found == [(0, 10, 0.2), (1, 13, 0.2), (2, 11, 0.16)]
     row = queries.read_queries(spark, str(tmp_path)).head()
     assert row.reading == reading_line(read(text, SMALL)) and "zebra" in row.lexical and "happy" in row.reading
+
+
+def test_thinning_of_one_query_fills_its_page(spark):
+    rows = [(i, 1.0, ["a", "b"]) for i in range(2 * ranking.HEAD + 5)] + [(900, 0.5, ["x"]), (901, 0.4, ["y"])]
+    for n, expected in ((len(rows), [(0, 0), (1, 900)]), (30, [(0, 0)])):
+        table = spark.createDataFrame(rows[:n], "id int, score double, chars array<string>")
+        assert sorted((r["rank"], r.id) for r in ranking.thinned(table, "id", (), limit=2).collect()) == expected
