@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word, as a pattern of Java and RE2 alike. ``bytes.split()`` cuts the same."""
@@ -22,18 +25,33 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 """Lower-cases A-Z and nothing else."""
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SLICE_BYTES = 4_000_000
+"""Bytes of text that a Python worker turns into objects at once, about; a longer text is a slice by itself."""
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Batches between JVM and Python are bounded by bytes, unless the session says how large they are."""
+    if spark.conf.get(BATCH_BYTES, "64m") in ("64m", "64MB", "67108864b"):  # Spark's own default
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one where the
-    session names none, as in tests."""
+    """The folder that driver and executors share. Where the session names none, a new local one if
+    all of Spark runs in one process, as in tests; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="moodrank-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if app not in _local_dirs:
+        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="moodrank-")
+    return _local_dirs[app]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +73,56 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Whole rows of a batch, about `most` bytes of its column text at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def mapped(docs: DataFrame, keep: tuple[str, ...], new: T.StructType, prepare: Callable[[], Callable[[pa.RecordBatch], list]], also: tuple[str, ...] = ()) -> DataFrame:
+    """docs -> its columns `keep` as they are and the columns `new`. prepare() is called once a task and returns
+    what makes, from a slice of rows with the columns text and `also`, one array or list for each new column."""
+    schema = T.StructType([*docs.select(*keep).schema, *new])
+    columns = list(dict.fromkeys([*keep, "text", *also]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        make = prepare()
+        for batch in batches:
+            for part in slices(batch):
+                made = [x if isinstance(x, pa.Array) else pa.array(x, f.type, from_pandas=True) for x, f in zip(make(part), list(arrow)[len(keep) :])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=arrow.names)
+        del make
+        give_back()
+
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def packed_rest(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with the columns `own` and all others in one column `_rest`, so that no operator's columns clash with
+    them; and what restores the columns of docs, given new values for some, and `also` those named."""
+    rest = [c for c in docs.columns if c not in own]
+    narrow = docs.select(*own, F.struct(*rest).alias("_rest") if rest else F.lit(None).cast("int").alias("_rest"))
+
+    def restore(df: DataFrame, new: dict[str, Column] = {}, also: tuple[str, ...] = ()) -> DataFrame:  # noqa: B006
+        return df.select(*[(new[c] if c in new else F.col(c) if c in own else F.col("_rest").getField(c)).alias(c) for c in docs.columns], *also)
+
+    return narrow, restore
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))
 
@@ -62,7 +130,7 @@ def power_of_two(n: float) -> int:
 class WordHashes(dict):
     """64-bit hashes of words, computed once for each word that comes again."""
 
-    most = 400_000
+    most = 120_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -130,16 +198,12 @@ def text_size(docs: DataFrame) -> int:
 
 def squeezed(docs: DataFrame) -> DataFrame:
     """docs with its column text compressed, as `z`: half as much to shuffle as Spark's own codec makes of it."""
-    columns = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([*docs.select(*columns).schema, T.StructField("z", T.BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare() -> Callable[[pa.RecordBatch], list]:
         press = zstandard.ZstdCompressor(level=3)
-        for pdf in batches:
-            z = [None if t is None else press.compress(encoded(t)) for t in pdf["text"]]
-            yield pdf[columns].assign(z=pd.Series(z, pdf.index, object))
+        return lambda rows: [[None if t is None else press.compress(encoded(t)) for t in rows.column("text").to_pylist()]]
 
-    return docs.select(*columns, "text").mapInPandas(run, schema)
+    return mapped(docs, tuple(c for c in docs.columns if c != "text"), T.StructType([T.StructField("z", T.BinaryType())]), prepare)
 
 
 def opened(z: bytes) -> str:

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import base64
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import encoded
+from .common import encoded, mapped
 
 DIRECTORY = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -26,7 +27,7 @@ NONE = -1
 class LongestMatch(dict):
     """Piece counts of words; itself the counts of words met before."""
 
-    most = 500_000
+    most = 150_000
 
     def __init__(self, starts: Iterable[bytes], others: Iterable[bytes]):
         self.edges: list[dict[int, int]] = [{}, {}]
@@ -112,10 +113,13 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     Every row on its own. A null or empty text has 0 words and 0 tokens; other columns and
     repeated ids do not matter."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare() -> Callable[[pa.RecordBatch], list]:
         counts = automaton(path)
-        for pdf in batches:
-            words = [[] if t is None else encoded(t).split() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": list(map(len, words)), "n_tokens": [sum(map(counts.__getitem__, [b" " + w for w in ws])) for ws in words]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, docs.select("doc_id").schema.add("n_words", "long").add("n_tokens", "long"))
+        def make(rows: pa.RecordBatch) -> list:
+            words = [[] if t is None else encoded(t).split() for t in rows.column("text").to_pylist()]
+            return [list(map(len, words)), [sum(map(counts.__getitem__, [b" " + w for w in ws])) for ws in words]]
+
+        return make
+
+    return mapped(docs, ("doc_id",), T.StructType().add("n_words", "long").add("n_tokens", "long"), prepare)
