@@ -1,261 +1,331 @@
-"""Substring dedup: documents factored against indexed reference blocks.
-
-The reference is the corpus itself, indexed by the hashes of its 13-word windows and cut by hash
-into blocks; a block knows, for each of its windows, the smallest document that starts it. A
-document is parsed as in relative Lempel-Ziv: a factor begins at the first word whose window has a
-smaller document in any block and goes on greedily while the next windows have one; at its
-boundary the parse asks again at every following word, so a match across the boundary of two
-factors is found too. A factor of k windows covers k + 12 words; covered words are removed.
-
-Rows on the way are blobs: a group of documents sends each reference block the sorted hashes of
-its windows, once for a window however often it repeats in the group, and the first document of
-each. So a passage that a third of all documents share costs a block one entry for each group.
-What repeats inside a group is known there and travels only as positions.
+"""Substring dedup: documents parsed into factors of the corpus, as in relative Lempel-Ziv.
+
+The reference is the corpus itself. Its text is indexed by the hashes of its 13-word windows; the index is cut by
+hash into reference blocks, and a block knows for each of its windows the place in the reference where it
+stands first: the smallest document, and the word in it. A document is parsed greedily: a factor (place in the
+document, reference document, place in it, length) begins at the first word whose window has a place in
+a smaller document, and goes on as long as the next window of both is the same. At the boundary of a factor
+the parse looks at every following word's window again, so windows that lie across two factors, or begin inside
+one, are found too. A factor is never shorter than a window; the words that factors cover are removed.
+
+Rows on the way are blobs. A group of documents (some megabytes) asks every reference block about its windows at once:
+ascending hashes, the documents they are in, and their places, and of the documents only those that the slice
+uses, so the bytes of a group do not grow with the number of blocks but for the slices' own headers. A window goes out
+once for a group however often it repeats there; what has a place in the group itself is found there.
+What the blocks answer meets the group's list of documents again, becomes runs, and goes to the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, encoded, opened, packed, plane_packed, plane_unpacked, power_of_two, squeezed, text_size, unpacked, window_hashes
+from .common import WordHashes, encoded, give_back, mapped, opened, packed, plane_packed, plane_unpacked, power_of_two, slices, squeezed, text_size, unpacked, window_hashes
 
 WIDTH = 13
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 """Bytes of text whose windows one reference block holds, about."""
 GROUP_BYTES = 12_000_000
 """Bytes of text whose windows are sorted at once in a Python worker, about."""
-MOST_SHARDS = 8192
-"""Shards of documents that the blocks' findings are gathered in, one for each block up to this many."""
+SLICE, DOCUMENTS, ANSWER = 0, 1, 2
+"""Kinds of rows: windows for a reference block, the documents of a group, a block's answer to a group."""
 
 
-def _positions(at: np.ndarray) -> bytes:
-    """Ascending positions as runs: starts and lengths."""
-    breaks = np.flatnonzero(np.diff(at) != 1) + 1
-    starts = at[np.concatenate([[0], breaks])]
-    lengths = np.diff(np.concatenate([[0], breaks, [len(at)]]))
-    return np.stack([starts, lengths]).astype("<u4").tobytes()
+def _ascending(ids: np.ndarray) -> np.ndarray:
+    """Signed integers as unsigned ones in the same order."""
+    return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _signed(ids: np.ndarray) -> np.ndarray:
+    return (ids ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _blob(*parts: bytes) -> bytes:
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+
 
+def _parts(blob: bytes, n: int) -> list[bytes]:
+    cuts = np.cumsum([4 * n, *struct.unpack_from(f"<{n}I", blob)]).tolist()
+    return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
 
-def _from_positions(blob: bytes) -> np.ndarray:
-    starts, lengths = np.frombuffer(blob, "<u4").reshape(2, -1).astype(np.int64)
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
+def _places(at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Ascending places of a group with their place in the reference."""
+    docs, which = np.unique(doc, return_inverse=True)
+    return _blob(packed(at), packed(_ascending(docs)), plane_packed(which), plane_packed(place))
 
-def _send(rows: list[tuple[int, int, np.ndarray]], blocks: int) -> Iterator[tuple]:
-    """rows: (doc_id, text key, window hashes) of a group. Yields rows (place, doc_id, key, blob):
-    a slice of windows for a reference block, or a document's positions known to repeat."""
+
+def _from_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, docs, which, place = _parts(blob, 4)
+    return unpacked(at).astype(np.int64), _signed(unpacked(docs))[plane_unpacked(which)], plane_unpacked(place).astype(np.int64)
+
+
+def _send(rows: list[tuple[int, int, np.ndarray]], blocks: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """rows: (doc_id, text key, window hashes) of a group. Yields rows (place, group, kind, blob)."""
     rows.sort(key=lambda r: r[:2])
     rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]  # a row twice is sent once
-    ids = np.array([r[0] for r in rows], np.int64)
+    ids, keys = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    # The group's name follows from what is in it, so a task that runs again gives the same.
+    group = xxhash.xxh3_64_intdigest(ids.tobytes() + keys.tobytes()) >> 1
     sizes = np.array([len(r[2]) for r in rows], np.int64)
     starts = np.cumsum(sizes) - sizes
     hashes = np.concatenate([r[2] for r in rows])
-    row_of = np.repeat(np.arange(len(rows)), sizes)
-    order = np.argsort(hashes, kind="stable")  # rows go by doc_id, so the first of equal hashes is the smallest document's
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    order = np.argsort(hashes, kind="stable").astype(np.int32)  # rows go by doc_id, so the first of equal hashes is in the smallest document
     h, row = hashes[order], row_of[order]
+    del hashes, row_of
     first = np.empty(len(h), bool)
     first[:1], first[1:] = True, h[1:] != h[:-1]
-    owner = ids[row[first]][np.cumsum(first) - 1]
-    repeats = ids[row] > owner
-    # Of the owner's windows, one of each row goes out: rows of one id are not each other's reference.
+    reference = np.flatnonzero(first).astype(np.int32)[np.cumsum(first) - 1]  # where the first of equals stands in this order
+    repeats = ids[row] > ids[row[reference]]
+    # Of what has no smaller document here, one window of each row goes out: rows of one id are not each other's reference.
     new_row = np.empty(len(h), bool)
     new_row[:1], new_row[1:] = True, row[1:] != row[:-1]
     out = ~repeats & (first | new_row)
-    h, at = h[out], order[out]
+    known = np.flatnonzero(repeats)
+    known = known[np.argsort(order[known])]
+    own = row[reference[known]]
+    table = (packed(_ascending(ids)), keys.tobytes(), plane_packed(starts))
+    yield group % blocks, group, DOCUMENTS, _blob(*table, _places(order[known], ids[own], order[reference[known]] - starts[own]))
+    h, at, row = h[out], order[out], row[out]
     shift = np.uint64(64 - max(1, blocks.bit_length() - 1))
     edges = np.searchsorted((h >> shift).astype(np.int64) if blocks > 1 else np.zeros(len(h), np.int64), np.arange(blocks + 1))
-    table = packed(_ascending(ids)) + plane_packed(starts)
-    keys = np.array([r[1] for r in rows], np.int32).tobytes()
     for b in range(blocks):
         lo, hi = edges[b], edges[b + 1]
         if lo < hi:
-            parts = (table, keys, packed(h[lo:hi]), plane_packed(at[lo:hi]))
-            yield b, None, None, struct.pack("<4I", *map(len, parts)) + b"".join(parts)
-    known = np.sort(order[repeats])
-    owner_row = row_of[known]
-    cuts = np.flatnonzero(np.diff(owner_row, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(known)]):
-        r = owner_row[lo]
-        yield int(ids[r] % blocks), int(ids[r]), int(rows[r][1]), _positions(known[lo:hi] - starts[r])
-
-
-def _ascending(ids: np.ndarray) -> np.ndarray:
-    """Signed integers as unsigned ones in the same order."""
-    return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+            used, which = np.unique(row[lo:hi], return_inverse=True)
+            yield b, group, SLICE, _blob(packed(h[lo:hi]), packed(_ascending(ids[used])), packed(used), plane_packed(which), plane_packed(at[lo:hi] - starts[row[lo:hi]]))
 
 
 def _windows(blocks: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         rows: list[tuple[int, int, np.ndarray]] = []
         size = 0
-        schema = ["place", "doc_id", "key", "blob"]
 
-        def flushed() -> Iterator[pd.DataFrame]:
+        def frame(out: list[tuple]) -> pa.RecordBatch:
+            types = {"place": pa.int32(), "group": pa.int64(), "kind": pa.int32(), "blob": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types.values())], names=list(types))
+
+        def flushed() -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             held = 0
             for r in _send(rows, blocks):
                 out.append(r)
                 held += len(r[3])
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield frame(out)
                     out, held = [], 0
             if out:
                 yield frame(out)
 
-        def frame(out: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(out, columns=schema).astype({"doc_id": "Int64", "key": "Int32"})
-
-        for pdf in batches:
-            for doc_id, key, text in zip(pdf["doc_id"].tolist(), pdf["key"].tolist(), pdf["text"]):
-                raw = encoded(text)
-                own = window_hashes(words.of(raw.split()), WIDTH)
-                if len(own):
-                    rows.append((doc_id, key, own))
-                    size += len(raw)
-                if size > GROUP_BYTES:
-                    yield from flushed()
-                    rows, size = [], 0
+        for batch in batches:
+            for part in slices(batch):
+                for doc_id, key, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist()):
+                    raw = encoded(text)
+                    own = window_hashes(words.of(raw.split()), WIDTH)
+                    if len(own):
+                        rows.append((doc_id, key, own))
+                        size += len(raw)
+                    if size > GROUP_BYTES:
+                        yield from flushed()
+                        rows, size = [], 0
         if rows:
             yield from flushed()
+        rows = []
+        words.clear()
+        give_back()
 
     return run
 
 
-def _packed_rows(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """(doc_id, key, blob) rows as one row a shard of documents: ids, keys, sizes and blobs."""
-    ids = rows["doc_id"].to_numpy(np.int64)
-    shard = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shards
-    order = np.argsort(shard, kind="stable")
-    keys, blobs = rows["key"].to_numpy(np.int32), rows["blob"].to_numpy()
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    out = []
-    for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-        at = order[lo:hi]
-        mine = [blobs[i] for i in at]
-        out.append((int(shard[at[0]]), struct.pack("<I", len(at)) + ids[at].tobytes() + keys[at].tobytes() + np.array([len(b) for b in mine], np.uint32).tobytes() + b"".join(mine)))
-    return pd.DataFrame(out, columns=["shard", "blob"])
+def _reference_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All slices of one block -> for each group the windows that stand in a smaller document, and the first place
+    of each; lists of documents go on as they are."""
+    slice_ = pdf["kind"].to_numpy() == SLICE
+    groups = pdf["group"].to_numpy()
+    out = [(int(g), DOCUMENTS, b) for g, b in zip(groups[~slice_], pdf["blob"][~slice_])]
+    hashes, docs, rows, places, lengths = [], [], [], [], []
+    for blob in pdf["blob"][slice_]:
+        h, ids, used, which, place = _parts(blob, 5)
+        which = plane_unpacked(which)
+        hashes.append(unpacked(h))
+        docs.append(_signed(unpacked(ids))[which])
+        rows.append(unpacked(used).astype(np.uint32)[which])
+        places.append(plane_unpacked(place))
+        lengths.append(len(which))
+    if hashes:
+        h, doc, row, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(rows), np.concatenate(places)
+        del hashes, docs, rows, places
+        order = np.argsort(h).astype(np.int32)
+        h = h[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        many = ~(new & np.concatenate([new[1:], [True]]))  # windows that stand somewhere else too
+        order, new = order[many], new[many]
+        del h, many
+        if len(order):
+            cuts = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            owner = np.minimum.reduceat(doc[order], cuts)
+            # The first place in that document. Of rows with its id it may be any one's.
+            there = np.minimum.reduceat(np.where(doc[order] == owner[of], place[order], np.uint32(2**32 - 1)), cuts)
+            hit = doc[order] > owner[of]
+            order, of = order[hit], of[hit]
+            back = np.argsort(order)
+            order, of = order[back], of[back]
+            ends = np.cumsum(lengths)
+            edges = np.searchsorted(order, np.concatenate([[0], ends]))
+            for g, lo, hi in zip(groups[slice_], edges, edges[1:]):
+                if lo < hi:
+                    at, w = order[lo:hi], of[lo:hi]
+                    sort = np.lexsort((place[at], row[at]))
+                    refs, which = np.unique(owner[w][sort], return_inverse=True)
+                    out.append((int(g), ANSWER, _blob(packed_rows(row[at][sort]), plane_packed(place[at][sort]), packed(_ascending(refs)), plane_packed(which), plane_packed(there[w][sort]))))
+    return pd.DataFrame(out, columns=["group", "kind", "blob"])
+
+
+def packed_rows(rows: np.ndarray) -> bytes:
+    return packed(rows.astype(np.uint64))
+
+
+def factors_of(at: np.ndarray, row: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows at ascending places, each with its row and its place in the reference -> where factors start, and how many
+    windows they go on for: as long as the next window of the row is the reference's next."""
+    goes_on = (np.diff(at) == 1) & (np.diff(row) == 0) & (np.diff(doc) == 0) & (np.diff(place) == 1)
+    starts = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    return starts, np.diff(np.concatenate([starts, [len(at)]]))
 
 
 def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What all blocks found for the documents of a shard, one row a document."""
-    found: dict[tuple[int, int], list[bytes]] = {}
-    for blob in pdf["blob"]:
-        (n,) = struct.unpack_from("<I", blob)
-        ids, keys, sizes = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.int32, n, 4 + 8 * n), np.frombuffer(blob, np.uint32, n, 4 + 12 * n)
-        ends = (4 + 16 * n + np.cumsum(sizes, dtype=np.int64)).tolist()
-        for doc_id, key, lo, hi in zip(ids.tolist(), keys.tolist(), [4 + 16 * n, *ends], ends):
-            found.setdefault((doc_id, key), []).append(blob[lo:hi])
-    return pd.DataFrame({"doc_id": [k[0] for k in found], "key": [k[1] for k in found], "blobs": list(found.values())})
-
-
-def _reference_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All slices of one block -> (doc_id, key, positions) that have a smaller document, and the rows
-    of known positions as they are."""
-    known = pdf[pdf["doc_id"].notna()]
-    hashes, docs, slices, places, tables = [], [], [], [], []
-    for k, blob in enumerate(pdf["blob"][pdf["doc_id"].isna()]):
-        sizes = struct.unpack_from("<4I", blob)
-        cuts = np.cumsum([16, *sizes])
-        own = unpacked(blob[cuts[0] :])
-        ids = (own ^ np.uint64(1 << 63)).view(np.int64)
-        starts = plane_unpacked(blob[cuts[0] + 4 + 8 * len(own) : cuts[1]]).astype(np.int64)
-        keys = np.frombuffer(blob, np.int32, len(own), cuts[1])
-        at = plane_unpacked(blob[cuts[3] : cuts[4]]).astype(np.int64)
+    """A group's documents and what all blocks answered -> one row a document, with its factors."""
+    kinds = pdf["kind"].to_numpy()
+    ids, keys, starts, known = _parts(pdf["blob"][kinds == DOCUMENTS].iloc[0], 4)  # a group of the same rows elsewhere has the same
+    ids, keys, starts = _signed(unpacked(ids)), np.frombuffer(keys, np.int64), plane_unpacked(starts).astype(np.int64)
+    at, doc, place = ([x] for x in _from_places(known))
+    for blob in pdf["blob"][kinds == ANSWER]:
+        rows, own, refs, which, there = _parts(blob, 5)
+        at.append(starts[unpacked(rows).astype(np.int64)] + plane_unpacked(own))
+        doc.append(_signed(unpacked(refs))[plane_unpacked(which)])
+        place.append(plane_unpacked(there).astype(np.int64))
+    at, doc, place = np.concatenate(at), np.concatenate(doc), np.concatenate(place)
+    out = []
+    if len(at):
+        # A window's smallest document among those found here and by the blocks.
+        order = np.lexsort((place, doc, at))
+        at, doc, place = at[order], doc[order], place[order]
+        best = np.concatenate([[True], at[1:] != at[:-1]])
+        at, doc, place = at[best], doc[best], place[best]
         row = np.searchsorted(starts, at, "right") - 1
-        hashes.append(unpacked(blob[cuts[2] : cuts[3]]))
-        docs.append(ids[row])
-        slices.append(np.full(len(at), k, np.int32))
-        places.append(at.astype(np.uint32))
-        tables.append((ids, keys, starts))
-    out = [known[["doc_id", "key", "blob"]].astype({"doc_id": "int64", "key": "int32"})]
-    if hashes:
-        h, doc = np.concatenate(hashes), np.concatenate(docs)
-        del hashes, docs
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        owner = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.concatenate([cuts, [len(h)]])))
-        hit = np.sort(order[doc > owner])
-        del h, doc, order, owner
-        part, at = np.concatenate(slices)[hit], np.concatenate(places)[hit].astype(np.int64)
-        rows: list[tuple] = []
-        for k in np.unique(part):
-            ids, keys, starts = tables[k]
-            mine = np.sort(at[part == k])
-            row = np.searchsorted(starts, mine, "right") - 1
-            cuts = np.flatnonzero(np.diff(row, prepend=-1))
-            rows += [(ids[r], keys[r], _positions(mine[lo:hi] - starts[r])) for r, lo, hi in zip(row[cuts], cuts, [*cuts[1:], len(mine)])]
-        out.append(pd.DataFrame(rows, columns=["doc_id", "key", "blob"]).astype({"doc_id": "int64", "key": "int32"}))
-    return pd.concat(out, ignore_index=True)
-
-
-def factors(raw: list[bytes], blobs: list[bytes], words: WordHashes) -> list[tuple[int, int]]:
-    """(start, end) in words of a document's factors, in order; they do not overlap after joining."""
-    if not len(blobs):
-        return []
+        first, n = factors_of(at, row, doc, place)
+        table = np.stack([at[first] - starts[row[first]], n, doc[first], place[first]]).astype("<i8")
+        cuts = np.flatnonzero(np.diff(row[first], prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(first)]):
+            r = row[first[lo]]
+            out.append((ids[r], keys[r], _blob(*(plane_packed(x) for x in table[:2, lo:hi]), table[2, lo:hi].tobytes(), plane_packed(table[3, lo:hi]))))
+    return pd.DataFrame(out, columns=["doc_id", "key", "factors"]).astype({"doc_id": "int64", "key": "int64"})
+
+
+def parsed(raw: list[bytes], blob: bytes | None, words: WordHashes) -> np.ndarray:
+    """Rows (word, words, reference document, word in it) of a document's factors, in order. A blob holds each window's
+    first place only; a window that repeats in the document refers to the same place everywhere."""
+    if blob is None:
+        return np.empty((0, 4), np.int64)
+    start, n, doc, place = _parts(blob, 4)
+    start, n, doc, place = plane_unpacked(start).astype(np.int64), plane_unpacked(n).astype(np.int64), np.frombuffer(doc, "<i8"), plane_unpacked(place).astype(np.int64)
     own = window_hashes(words.of(raw), WIDTH)
-    known = np.unique(own[np.concatenate([_from_positions(b) for b in blobs])])
-    at = np.flatnonzero(np.isin(own, known))  # other places of the same window in this document too
-    breaks = np.flatnonzero(np.diff(at) > WIDTH) + 1  # factors that touch or overlap are one span
-    starts = at[np.concatenate([[0], breaks])]
-    ends = at[np.concatenate([breaks - 1, [len(at) - 1]])] + WIDTH
-    return list(zip(starts.tolist(), ends.tolist()))
-
-
-def dedup(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs(doc_id, text, *keep) -> doc_id, *keep, text, n_words, n_removed, spans, kept_text.
-
-    spans are pairs of word numbers, kept_text the words outside joined by one space. Null text has no
-    words (kept_text empty); a document without an id is neither reference nor
-    parsed; rows of one id are not each other's reference, whether alike or not. Shorter
-    documents than a window keep everything. Memory of a task: one reference block."""
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = own[np.repeat(start, n) + step]
+    order = np.argsort(h)
+    h = h[order]
+    at = np.searchsorted(h, own)
+    at[at == len(h)] = 0
+    here = np.flatnonzero(h[at] == own)
+    which = order[at[here]]
+    doc, place = np.repeat(doc, n)[which], (np.repeat(place, n) + step)[which]
+    first, n = factors_of(here, np.zeros(len(here), np.int64), doc, place)
+    return np.stack([here[first], n + WIDTH - 1, doc[first], place[first]], axis=1)
+
+
+def spans(factors: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) in words of what factors cover; those that touch or overlap are one span."""
+    out: list[list[int]] = []
+    for start, n in factors[:, :2].tolist():
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + n)
+        else:
+            out.append([start, start + n])
+    return [tuple(x) for x in out]
+
+
+FACTORS = "array<struct<start:int,words:int,ref_doc:bigint,ref_word:int>>"
+
+
+def dedup(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, columns: tuple[str, ...] = ("text", "spans", "kept_text", "factors"), derive=None) -> DataFrame:
+    """docs(doc_id, text, *keep) -> doc_id, *keep, n_words, n_removed, and of text, spans, kept_text and factors those
+    in `columns`.
+
+    spans are pairs of word numbers, kept_text the words outside joined by one space, factors the parse: start and words
+    here, document and word there. derive: further columns, and a function that makes them in the worker from a
+    slice's lists of texts and kept texts. Null text has no words (kept_text empty); a document without an id is neither
+    reference nor parsed; rows of one id are not each other's reference, whether alike or not, and a factor that refers
+    to such an id may mean any of them. Shorter documents than a window keep everything. Memory of a task: one
+    reference block. `keep` may not name `key`, `z`, `factors` or a new column; other columns are ignored."""
     # The spread over partitions follows the files; a document's key tells rows of one id apart.
-    rows = docs.select("doc_id", *keep, "text", F.hash("text").alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text", F.xxhash64("text").alias("key"))
     blocks = power_of_two(text_size(docs) / block_bytes)
-    sent = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "key", "text").mapInPandas(_windows(blocks), "place int, doc_id long, key int, blob binary")
-    shards = min(blocks, MOST_SHARDS)
-    hits = sent.groupBy("place").applyInPandas(lambda pdf: _packed_rows(_reference_block(pdf), shards), "shard int, blob binary")
-    hits = hits.groupBy("shard").applyInPandas(_gathered, "doc_id long, key int, blobs array<binary>")
-    # Null ids join on their text's key, so that many of them are not one key.
-    no_id = F.col("doc_id").isNull()
-    left = squeezed(rows).withColumns({"j": F.coalesce(F.col("doc_id").cast("long"), F.col("key").cast("long")), "no_id": no_id})
-    right = hits.select(F.col("doc_id").alias("j"), "key", F.lit(False).alias("no_id"), "blobs")
-    joined = left.join(right, ["j", "key", "no_id"], "left").select("doc_id", *keep, "z", "blobs")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sent = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "key", "text").mapInArrow(_windows(blocks), "place int, group long, kind int, blob binary")
+    answers = sent.groupBy("place").applyInPandas(_reference_block, "group long, kind int, blob binary")
+    found = answers.groupBy("group").applyInPandas(_gathered, "doc_id long, key long, factors binary")
+    found = found.dropDuplicates(["doc_id", "key"])  # a row twice has the same factors twice
+    # Rows without an id go past the join, as they would be one key of it.
+    named = squeezed(rows.where("doc_id IS NOT NULL")).join(found, ["doc_id", "key"], "left")
+    unnamed = squeezed(rows.where("doc_id IS NULL")).withColumn("factors", F.lit(None).cast("binary"))
+    joined = named.unionByName(unnamed).select("doc_id", *keep, F.col("z").alias("text"), "factors")
+    types = {"text": "string", "spans": "array<int>", "kept_text": "string", "factors": FACTORS}
+    schema = T.StructType().add("n_words", "long").add("n_removed", "long")
+    for c in columns:
+        schema = schema.add(c, T._parse_datatype_string(types[c]))
+    for f in derive[0] if derive else []:
+        schema = schema.add(f)
+
+    def prepare() -> Callable[[pa.RecordBatch], list]:
         words = WordHashes()
-        for pdf in batches:
-            n, removed, spans, kept = [], [], [], []
-            texts = [None if z is None else opened(z) for z in pdf["z"]]
-            for text, blobs in zip(texts, pdf["blobs"]):
+
+        def make(part: pa.RecordBatch) -> list:
+            texts = [None if z is None else opened(z) for z in part.column("text").to_pylist()]
+            made: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "spans", "kept_text", "factors")}
+            for text, blob in zip(texts, part.column("factors").to_pylist()):
                 raw = encoded(text).split() if text is not None else []
-                own = factors(raw, blobs, words) if blobs is not None else []
-                left_over = raw
-                if own:
-                    left_over, end = [], 0
-                    for a, b in own:
-                        left_over += raw[end:a]
+                own = parsed(raw, blob, words)
+                cut, left, end = spans(own), raw, 0
+                if cut:
+                    left = []
+                    for a, b in cut:
+                        left += raw[end:a]
                         end = b
-                    left_over += raw[end:]
-                n.append(len(raw))
-                removed.append(len(raw) - len(left_over))
-                spans.append([x for s in own for x in s])
-                kept.append(b" ".join(left_over).decode("utf-8", "surrogatepass"))
-            pdf = pdf.drop(columns=["z", "blobs"])
-            yield pdf.assign(text=pd.Series(texts, pdf.index, object), n_words=n, n_removed=removed, spans=spans, kept_text=kept)
-
-    schema = docs.select("doc_id", *keep, "text").schema.add("n_words", "long").add("n_removed", "long").add("spans", T.ArrayType(T.IntegerType())).add("kept_text", "string")
-    return joined.mapInPandas(run, schema)
+                    left += raw[end:]
+                made["n_words"].append(len(raw))
+                made["n_removed"].append(len(raw) - len(left))
+                made["kept_text"].append(b" ".join(left).decode("utf-8", "surrogatepass"))
+                if "spans" in columns:
+                    made["spans"].append([x for s in cut for x in s])
+                if "factors" in columns:
+                    made["factors"].append([dict(zip(("start", "words", "ref_doc", "ref_word"), f)) for f in own.tolist()])
+            made["text"] = texts
+            return [made[c] for c in ("n_words", "n_removed", *columns)] + (derive[1](texts, made["kept_text"]) if derive else [])
+
+        return make
+
+    return mapped(joined, ("doc_id", *keep), schema, prepare, also=("factors",))
 
 
 def sha256(text: str) -> str:
