@@ -30,9 +30,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str = "mix") -> Column:
-    """A number in (0, 1) from the id's digest, the same in every run and engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A number in (0, 1) from the digest of the id, of the text if there is no id: the same in every run and engine."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(F.md5(text), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / F.lit(float(2**48))
 
 
@@ -82,22 +83,29 @@ def mix(
     most: float = 2.0,
     seed: str = "mix",
     keep: tuple[str, ...] = (),
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """docs(doc_id, text, source, *keep) -> doc_id, *keep, size, source_size, target, taken and epochs.
 
-    `weight` is a column of docs, over 0; null or not positive weighs 1. Null text has
-    no words and is never taken, null ids get one common key, repeated rows are
-    separate documents, equal keys go by id and then size. Sources are compared
-    byte by byte and null is a source of its own. Other columns are ignored."""
+    `weight` is a column of docs, over 0; null or not positive weighs 1. With labels(doc_id, quality) it may
+    use `_quality`, the label of a row's id. Null text has no words and is never taken; rows without an id
+    get their key from their text, repeated rows are separate documents, equal keys go by id and then
+    size. Sources are compared byte by byte and null is a source of its own. Other columns are ignored.
+    Texts are read once, in place: only ids, sources and sizes are shuffled."""
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / w
+    factors = [c for c in ([] if weight is None else docs.columns) if c not in ("doc_id", "source", "text", "size", "_log", *keep)] if labels is None else []
+    sized = docs.select("doc_id", *keep, "source", *factors, word_count().alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("text"), seed))).alias("_log"))
+    if labels is not None:
+        sized = labelled(sized, labels)
     # Ids that repeat share a key; the row's place within them is of no account.
-    sized = saved(docs.select("doc_id", *keep, "source", word_count().alias("size"), key.alias("_order")), "mix")
+    sized = saved(sized.select("doc_id", *keep, "source", "size", (F.col("_log") / w).alias("_order")), "mix")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = saved(targets, "mix-targets").select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    by_source = lambda left, right: left.join(right.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
-    rows = by_source(sized, F.broadcast(targets) if targets.count() <= 100_000 else targets)
+    few = targets.count() <= 100_000  # one row a source in all three tables joined by it
+    small = lambda df: F.broadcast(df) if few else df
+    by_source = lambda left, right: left.join(small(right.withColumnRenamed("source", "s_")), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
+    rows = by_source(sized, targets)
     # exp(-key) is uniform for weight 1 and falls as the key rises.
     rows = rows.withColumn("x", 1 - F.exp(-F.col("_order")))
     rows, ends = _border(rows, F.col("x"))
@@ -135,16 +143,18 @@ def quality_weight(quality: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with its quality label as `_quality`; ids that repeat in labels count once."""
+    """docs with its quality label as `_quality`; ids that repeat in labels count once. Rows without an id
+    go past the join, as they would be one key of it."""
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    return docs.join(one, "doc_id", "left")
+    named = docs.where("doc_id IS NOT NULL").join(one, "doc_id", "left")
+    return named.unionByName(docs.where("doc_id IS NULL").withColumn("_quality", F.lit(None).cast(labels.schema["quality"].dataType)))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS size,
          CASE l.quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS w,
-         ((('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS u
+         ((('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'text:' || coalesce(md5(d.text), ''))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS u
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) l ON d.doc_id = l.doc_id),
 k AS (SELECT *, -ln(u) / w AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2::DOUBLE * sum(size)::DOUBLE AS cap,

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import chat, embedding_dedup, jaccard_join, language_id, mixing, quality, sentencepiece_fst, substring_dedup, token_counts, topk_search
 from .common import read
@@ -14,27 +19,31 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    digest = T.StructType().add("kept_sha256", "string")
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"), columns=(), derive=(digest, lambda texts, kept: [list(map(substring_dedup.sha256, kept))]))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def _piece_digest(texts: list[str | None], ids: pa.Array, decoded: list[str | None]) -> list:
+    lines = pc.binary_join(ids.cast(pa.list_(pa.string())), ",")
+    return [
+        pc.list_value_length(ids).cast(pa.int64()),
+        [None if x is None else hashlib.sha256(x.encode()).hexdigest() for x in lines.to_pylist()],
+        [None if t is None else d == t.replace(sentencepiece_fst.SPACE, " ") for t, d in zip(texts, decoded)],
+    ]
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_fst.encode(read(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.replace("text", F.lit(sentencepiece_fst.SPACE), F.lit(" "))).alias("round_trip"),
-    )
+    """The ids' number and digest, and whether decoding gives the text back."""
+    digest = T.StructType().add("n_pieces", "long").add("ids_sha256", "string").add("round_trip", "boolean")
+    return sentencepiece_fst.encode(read(spark, sf_dir, "documents"), columns=(), derive=(digest, _piece_digest))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.labelled(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), read(spark, sf_dir, "labels"))
-    return mixing.mix(docs, mixing.quality_weight(F.col("_quality")))
+    return mixing.mix(read(spark, sf_dir, "documents"), mixing.quality_weight(F.col("_quality")), labels=read(spark, sf_dir, "labels"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
