@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, encoded, forget, mixed, opened, packed, plane_packed, plane_unpacked, power_of_two, saved, squeezed, text_size, unpacked, window_hashes
+from .common import LOWER, WordHashes, encoded, forget, give_back, mixed, opened, packed, plane_packed, plane_unpacked, power_of_two, saved, slices, squeezed, text_size, unpacked, window_hashes
 from .components import components
 
 WIDTH = 4
@@ -35,9 +36,12 @@ PERCENT = 85
 COUNTER_BITS = 22
 """Hashed counters of how many sets hold a run: this many in all, whatever the input's size."""
 COUNTER_CHUNK = 1 << 16
-LIST_BYTES = 30_000_000
+LIST_BYTES = 16_000_000
 """Bytes of text whose index entries one task holds, about."""
 GROUP_SETS = 20_000
+MOST_SENT = 200_000
+"""Up to so many sets to compare their documents' names are sent to every task, so that no other text is
+compressed or shuffled; beyond, texts meet the names in a join."""
 TURNS, SEEDS = 4, 10
 """Rounds that compare the sets of a list with a few of them, before the complete one: so many at most."""
 LEAST_LINKED = 0.05
@@ -81,34 +85,47 @@ def index_length(n, percent: int):
 def _sketch(width: int):
     """Rows (doc_id, key, n, sig) of every document, and (chunk, part, blob) of the partition's counters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"doc_id": pa.int64(), "key": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "chunk": pa.int32(), "part": pa.int32(), "blob": pa.binary()}
+
+    def frame(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x if isinstance(x := columns.get(c), pa.Array) else pa.array([x] * rows if not isinstance(x, list) else x, t) for c, t in types.items()], names=list(types))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         shift = np.uint64(64 - COUNTER_BITS)
         seen: set[int] = set()
-        for pdf in batches:
-            n, sigs, sets, size = [], [], [], 0
-            for text in pdf["text"]:
-                runs = runs_of(text, words, width) if text is not None else np.empty(0, np.uint64)
-                n.append(len(runs))
-                sigs.append(signature(runs) if len(runs) else None)
-                if len(runs) and sigs[-1] not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(sigs[-1])
-                    sets.append(runs)
-                    size += len(runs)
-                if size > 2_000_000:
-                    counters += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counters)).astype(np.uint32)
-                    sets, size = [], 0
-            if sets:
-                counters += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counters)).astype(np.uint32)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n": n, "sig": pd.array(sigs, "Int64"), "chunk": -1, "part": 0, "blob": None})
-        part = TaskContext.get().partitionId()
+
+        def count(sets: list[np.ndarray]) -> None:
+            at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int32), return_counts=True)
+            counters[at] += n.astype(np.uint32)
+
+        for batch in batches:
+            for part in slices(batch):
+                n, sigs, sets, size = [], [], [], 0
+                for text in part.column("text").to_pylist():
+                    runs = runs_of(text, words, width) if text is not None else np.empty(0, np.uint64)
+                    n.append(len(runs))
+                    sigs.append(signature(runs) if len(runs) else None)
+                    if len(runs) and sigs[-1] not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add(sigs[-1])
+                        sets.append(runs)
+                        size += len(runs)
+                    if size > 1_000_000:
+                        count(sets)
+                        sets, size = [], 0
+                if sets:
+                    count(sets)
+                yield frame(len(n), doc_id=part.column("doc_id"), key=part.column("key"), n=n, sig=sigs, chunk=-1, part=0)
+        words.clear()
+        part_id = TaskContext.get().partitionId()
         for chunk, at in enumerate(range(0, len(counters), COUNTER_CHUNK)):
             own = counters[at : at + COUNTER_CHUNK]
             if own.any():
-                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "key": 0, "n": 0, "sig": pd.array([None], "Int64"), "chunk": chunk, "part": part, "blob": [zlib.compress(plane_packed(own), 1)]})
+                yield frame(1, key=0, n=0, chunk=chunk, part=part_id, blob=[zlib.compress(plane_packed(own), 1)])
+        give_back()
 
     return run
 
@@ -140,12 +157,15 @@ def in_order(runs: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def _index(shared, buckets: int, width: int, percent: int):
     """Documents -> (bucket, blob): slices of index entries."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, words = shared.value, WordHashes()
         sets: dict[int, tuple[int, np.ndarray]] = {}
         held = 0
 
-        def flushed() -> Iterator[pd.DataFrame]:
+        def frame(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
+
+        def flushed() -> Iterator[pa.RecordBatch]:
             sigs = np.fromiter(sets, np.int64, len(sets))
             sizes = np.array([s[0] for s in sets.values()], np.int64)
             lengths = np.array([len(s[1]) for s in sets.values()], np.int64)
@@ -164,26 +184,30 @@ def _index(shared, buckets: int, width: int, percent: int):
                     parts = (sigs[used].tobytes(), plane_packed(sizes[used]), packed(run_[lo:hi]), plane_packed(own), plane_packed(place[lo:hi]))
                     out.append((b, struct.pack("<5I", *map(len, parts)) + b"".join(parts)))
                 if len(out) == 64:
-                    yield pd.DataFrame(out, columns=["bucket", "blob"])
+                    yield frame(out)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["bucket", "blob"])
-
-        for pdf in batches:
-            for text in pdf["text"]:
-                runs = runs_of(text, words, width)
-                if not len(runs):
-                    continue
-                sig = signature(runs)
-                if sig not in sets:
-                    own = in_order(runs, classes)[: prefix_length(len(runs), percent)]
-                    sets[sig] = (len(runs), own)
-                    held += len(own)
-                if held > 1_500_000 or len(sets) > GROUP_SETS:
-                    yield from flushed()
-                    sets, held = {}, 0
+                yield frame(out)
+
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column("text").to_pylist():
+                    runs = runs_of(text, words, width)
+                    if not len(runs):
+                        continue
+                    sig = signature(runs)
+                    if sig not in sets:
+                        own = in_order(runs, classes)[: prefix_length(len(runs), percent)]
+                        sets[sig] = (len(runs), own.copy())
+                        held += len(own)
+                    if held > 1_000_000 or len(sets) > GROUP_SETS:
+                        yield from flushed()
+                        sets, held = {}, 0
         if sets:
             yield from flushed()
+        sets.clear()
+        words.clear()
+        give_back()
 
     return run
 
@@ -296,9 +320,9 @@ class Lists:
         found = []
         for p, x in enumerate(blocks):
             for q in range(p, len(blocks)):
-                (i, small, _, mine), (j, low, high, others) = least[p], least[q]
-                # The block's places leave at most high - j runs behind; the least sizes ask for least_overlap.
-                if high - j < least_overlap(small, low, self.percent) and self.size[self.owner[x]].max() - i < least_overlap(small, low, self.percent):
+                (i, small, big, mine), (j, low, high, others) = least[p], least[q]
+                # A block's places leave at most its largest size less its least place behind; the least sizes ask for least_overlap.
+                if min(high - j, big - i) < least_overlap(small, low, self.percent):
                     continue
                 if len(mine) == 1 and len(others) == 1 and mine[0] == others[0]:
                     continue
@@ -340,30 +364,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, key, n_shingles, component_id.
+    """docs(doc_id, text) -> doc_id, key, n_shingles, component_id, root.
 
     A set is the distinct runs of `width` words of the whole text, A-Z in lower case; all words as one run if they
     are fewer. Two documents link when 100 |x & y| >= percent |x | y|; component_id is the smallest
     doc_id reachable. Null, empty or blank texts have an empty set and are alone. A null id has no component.
     Rows of one id, alike or not, are separate sets with the same name. `key`, a hash of the text,
-    tells them apart. Sets go by 64-bit hashes of their runs' hashes; other columns are ignored."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"))
+    tells them apart, and `root`, the same for all of a component, tells components apart whose smallest ids are
+    one; it is null for what is alone by rule. Sets go by 64-bit hashes of their runs' hashes; other columns are ignored."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     buckets = power_of_two(text_size(docs) / LIST_BYTES)
-    sketch = saved(rows.mapInPandas(_sketch(width), "doc_id long, key int, n long, sig long, chunk int, part int, blob binary"), "jaccard-sketch")
+    sketch = saved(rows.mapInArrow(_sketch(width), "doc_id long, key long, n long, sig long, chunk int, part int, blob binary"), "jaccard-sketch")
     sets = sketch.where("chunk < 0").select("doc_id", "key", "n", "sig")
     shared = docs.sparkSession.sparkContext.broadcast(size_classes(sketch.where("chunk >= 0").select("chunk", "part", "blob")))
     able = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    index = able.select("text").mapInPandas(_index(shared, buckets, width, percent), "bucket int, blob binary")
+    index = able.select("text").mapInArrow(_index(shared, buckets, width, percent), "bucket int, blob binary")
     lists = saved(index.groupBy("bucket").applyInPandas(_lists, "bucket int, sigs array<long>, blob binary"), "jaccard-lists")
+    shared.destroy()
 
     listed = lists.select("bucket", F.explode("sigs").alias("sig"))
     firsts = sets.where(F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    rows_repeat = sets.groupBy("doc_id", "key").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """The text of one document of each set in pairs."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        of = firsts.join(needed, "sig", "left_semi").select("sig", "first.doc_id", "first.key")
-        return saved(squeezed(able).join(of, ["doc_id", "key"]).select("sig", "z"), "jaccard-texts")
+        of = saved(firsts.join(needed, "sig", "left_semi").select("sig", "first.doc_id", "first.key"), "jaccard-needed")
+        if of.count() <= MOST_SENT:
+            found = squeezed(able.join(F.broadcast(of), ["doc_id", "key"]).select("sig", "text"))
+        else:
+            found = squeezed(able).join(of, ["doc_id", "key"]).select("sig", "z")
+        texts = saved(found.dropDuplicates(["sig"]) if rows_repeat else found, "jaccard-texts")
+        forget(of)
+        return texts
 
     def compared(select) -> DataFrame:
         """Pairs of each bucket by select(lists, labels)."""
@@ -392,6 +425,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         texts = texts_of(pairs)
         own = saved(_verified(pairs, texts, width, percent), "jaccard-links")
         forget(texts)
+        forget(pairs)
         done = own if done is None else done.unionByName(own)
         parts = components(done.where("linked").select("a", "b"))
         if turn < TURNS:
@@ -404,9 +438,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     named = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     alone = rooted.where("root IS NULL OR doc_id IS NULL")
-    return named.join(ids, "root").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        alone.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = named.join(ids, "root").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root").unionByName(
+        alone.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     )
+    out = saved(out, "jaccard")
+    for table in (sketch, parts, done):
+        forget(table)
+    return out
 
 
 ORACLE = r"""
