@@ -8,7 +8,8 @@ after the other.
 
 Inside a text or role a backslash and the first character of each mark are written as
 two-character codes that start with a backslash and hold none of those characters, so the
-marks can only stand where the template put them, and reading back is exact.
+marks can only stand where the template put them, and reading back is exact. A role that is spelled
+like one of the template's names without being it (`Assistant`) is written with a code before it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ class Template:
     loss: tuple[str, ...] = ("assistant",)
     escapes: tuple[tuple[str, str], ...] = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
     role_escapes: tuple[tuple[str, str], ...] = ((":", "\\c"),)
+    foreign: str = "\\r"
     start: str = "start"
     moves: tuple[tuple[str, str, str], ...] = (
         ("start", "system", "asked"),
@@ -57,7 +59,7 @@ def unescape(c: Column, t: Template = TEMPLATE) -> Column:
     """Codes go back in reverse order, the backslash last: no code's text can
     come of another's before that."""
     back = [(code, raw) for raw, code in [*t.escapes, *t.role_escapes]]
-    return _swap(c, [*back[1:], back[0]])
+    return _swap(c, [(t.foreign, ""), *back[1:], back[0]])
 
 
 def format_chats(turns: DataFrame, t: Template = TEMPLATE) -> DataFrame:
@@ -76,7 +78,8 @@ def format_chats(turns: DataFrame, t: Template = TEMPLATE) -> DataFrame:
     segment = lambda c, loss: F.struct(c.alias("text"), loss.alias("loss"))
 
     def segments(x: Column) -> Column:
-        name = F.coalesce(F.try_element_at(names, x["role"]), escape(x["role"], t, role=True))
+        foreign = F.when(x["role"].isin(*t.names.values()), F.lit(t.foreign)).otherwise(F.lit(""))
+        name = F.coalesce(F.try_element_at(names, x["role"]), F.concat(foreign, escape(x["role"], t, role=True)))
         return F.array(
             segment(F.concat(F.lit(t.open), name, F.lit(t.middle)), F.lit(False)),
             segment(escape(x["text"], t), x["role"].isin(*t.loss)),
@@ -88,7 +91,7 @@ def format_chats(turns: DataFrame, t: Template = TEMPLATE) -> DataFrame:
 
 
 def read_back(chats: DataFrame, t: Template = TEMPLATE) -> DataFrame:
-    """What format_chats wrote -> conv_id, turns (role, text), loss_text, formatted, valid."""
+    """What format_chats wrote, from `formatted` alone -> conv_id, turns (role, text), loss_text, formatted, valid."""
     parts = F.filter(F.split("formatted", t.close.replace("\\", "\\\\")), lambda s: s != "")
     roles = F.create_map(*[F.lit(x) for role, name in t.names.items() for x in (name, role)])
 
@@ -100,8 +103,8 @@ def read_back(chats: DataFrame, t: Template = TEMPLATE) -> DataFrame:
             unescape(F.substring(s, at + len(t.middle), F.length(s)), t).alias("text"),
         )
 
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
-    return chats.select("conv_id", F.transform(parts, turn).alias("turns"), loss.alias("loss_text"), "formatted", "valid")
+    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"].isin(*t.loss)), lambda x: x["text"]), "")
+    return chats.select("conv_id", F.transform(parts, turn).alias("turns"), "formatted", "valid").select("conv_id", "turns", loss.alias("loss_text"), "formatted", "valid")
 
 
 def digest(chats: DataFrame, t: Template = TEMPLATE) -> DataFrame:
@@ -124,7 +127,8 @@ EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
 def with_extra(turns: DataFrame) -> DataFrame:
     """conversations and conversation -7, whose texts hold the template's own marks."""
-    extra = turns.sparkSession.createDataFrame([(-7, 0, "user", EXTRA_TEXT), (-7, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
+    two = turns.sparkSession.range(2)
+    extra = two.select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
     return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
@@ -137,7 +141,9 @@ a AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS lines,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(4 + length(role) + 2 + length(text) + 9 + 2 * 0
+    sum(4 + length(role) + 2 + length(text) + 9
+      + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 WHEN role IN ('System', 'User', 'Assistant') THEN 2
+          ELSE length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) END
       + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', ''))) AS formatted_chars,
     string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text) AS roles
   FROM c GROUP BY conv_id)

@@ -11,23 +11,29 @@ language is a sum of lookups. The language with the shortest code is predicted.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .automaton import START, SYMBOLS, ContextTables, sums
-from .common import encoded
+from .common import encoded, mapped
 
 TRAIN_DOCS = 600
-"""Expected number of rows a language is fitted on; all its rows if it has fewer."""
+"""Expected number of different texts a language is fitted on; all of them if it has fewer."""
 TRAIN_BYTES = 20_000
 """Longer rows are not drawn for fitting."""
-MOST_LANGUAGES = 400
+TRAIN_TOTAL = 100_000_000
+"""Bytes of text that all languages together are fitted on, at most: with many of them each gets fewer rows."""
+PIECES = 10
+"""A language all of whose rows are longer is fitted on so many pieces of its shortest row, from its start to its end."""
 LEAST_CONTEXT = 3
-"""A context of three bytes is kept if it was seen this often in all samples."""
+"""A context is kept if it was seen this often in all samples ..."""
+MOST_CELLS = 24_000_000
+"""... or more often, so that the tables (contexts x symbols x languages) have no more costs than this."""
 
 
 def remainder(doc_id: Column) -> Column:
@@ -35,21 +41,25 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, bytes_most: int = TRAIN_BYTES) -> list[tuple[str, str]]:
-    """(lang, text) of rows with both whose id's remainder is not 2: about docs_each of each
-    language, by the hash of the id."""
+    """(lang, text) of rows with both whose id's remainder is not 2: about docs_each different texts of each
+    language, by the hash of id and text."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(F.col("doc_id")), F.lit(2)) != 2) & F.col("text").rlike(r"\p{L}"))
-    counts = able.groupBy("lang").agg(F.count_if(F.octet_length("text") <= bytes_most).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    short = F.octet_length("text") <= bytes_most
+    counts = able.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.xxhash64("text"))).alias("n")).collect()  # one row a language
     if not counts:
         return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_each / max(r["n"], 1))))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(2**40)) / F.lit(float(2**40))
-    # A language all of whose rows are long is fitted on the starts of a few of them.
-    long_only = {r["lang"] for r in counts if r["n"] == 0}
-    rows = able.where((F.octet_length("text") <= bytes_most) & (draw < share[F.col("lang")])).select("lang", "text").collect()
-    for lang in sorted(long_only):
-        rows += able.where(F.col("lang") == lang).select("lang", F.substring("text", 1, bytes_most).alias("text")).limit(10).collect()
+    docs_each = min(docs_each, max(1, TRAIN_TOTAL // (bytes_most * len(counts))))
+    share = able.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_each / max(r["n"], 1))) for r in counts], "lang string, share double")
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(2**40)) / F.lit(float(2**40))
+    drawn = able.where(short).select("lang", "text", draw.alias("draw")).join(F.broadcast(share), "lang").where("draw < share")
+    # Copies count once, so that no text, however often it stands, fills the sample.
+    rows = drawn.select("lang", "text").distinct().collect()
+    long_only = [r["lang"] for r in counts if r["n"] == 0]
+    if long_only:
+        step = F.length("text") / F.lit(PIECES)
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", F.floor(i * step).cast("int") + 1, F.lit(bytes_most // PIECES)))
+        one = able.where(F.col("lang").isin(long_only)).groupBy("lang").agg(F.min_by(F.array_join(pieces, " "), F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text"))
+        rows += one.select("lang", "text").collect()
     return [(r["lang"], r["text"]) for r in rows]
 
 
@@ -119,8 +129,18 @@ class LanguageModel:
                 out.append(s)
             return tuple(out[::-1])
 
-        contexts = {symbols_of(code, k) for mine in after for k in (1, 2) for code in mine[k]}
-        contexts |= {symbols_of(code, 3) for code, c in totals.items() if c >= least}
+        # Seen in all samples, by order; a context's suffix was seen no less often.
+        seen: Counter = Counter()
+        for counts in grams:
+            for k in (1, 2):
+                for code, c in counts[k].items():
+                    seen[k, code // SYMBOLS] += c
+        seen.update({(3, code): c for code, c in totals.items() if c >= least})
+        most = MOST_CELLS // (n * max(1, len(grams)))
+        if len(seen) > most:
+            least = sorted(seen.values(), reverse=True)[most] + 1
+            seen = Counter({x: c for x, c in seen.items() if c >= least})
+        contexts = {symbols_of(code, k) for k, code in seen}
         contexts = {c for c in contexts if START not in c or all(s == START for s in c[: c.index(next((x for x in c if x != START), START))])}
         self.tables = ContextTables(self.alphabet, contexts, cost) if grams else None
 
@@ -138,23 +158,27 @@ def predict(docs: DataFrame, docs_each: int = TRAIN_DOCS) -> DataFrame:
     Fitted on rows with text and lang whose id's crc32 mod 4 is not 2. `und` with score 0 if the
     text is null or has no letter, or nothing could be learned. Whole texts are scored; a null
     id is not held out and not learned from; equal lengths go to the first language in
-    code point order. Repeated rows are predicted alike; other columns are ignored."""
+    code point order. Repeated rows are predicted alike; other columns are ignored. There may be any number of languages: the
+    more there are, the fewer rows each is fitted on and the rarer contexts are left out of the tables."""
     spark = docs.sparkSession
     model = LanguageModel(training_sample(docs, docs_each))
     # Its size is bounded by the sample's, which the parameters bound.
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare() -> Callable[[pa.RecordBatch], list]:
         m = shared.value
-        for pdf in batches:
-            able = np.array([t is not None and any(map(str.isalpha, t)) for t in pdf["text"]], bool) & bool(m.languages)
-            pred = np.full(len(pdf), "und", object)
-            score = np.zeros(len(pdf))
+
+        def make(rows: pa.RecordBatch) -> list:
+            texts = rows.column("text").to_pylist()
+            able = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & bool(m.languages)
+            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if able.any():
-                best, p = m.predict([encoded(t) for t in pdf["text"][able]])
+                best, p = m.predict([encoded(t) for t, a in zip(texts, able) if a])
                 pred[able] = np.array(m.languages, object)[best]
                 score[able] = p
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": pred, "score": score})
+            return [pred.tolist(), score]
+
+        return make
 
     rows = docs.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"))
-    return rows.mapInPandas(run, docs.select("doc_id").schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double"))
+    return mapped(rows, ("doc_id", "held_out"), T.StructType().add("lang_pred", "string").add("score", "double"), prepare)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -77,14 +78,33 @@ def test_substring_dedup(spark, docs, doc_rows):
     assert substring_dedup.dedup(empty(spark)).collect() == []
 
 
-def test_substring_groups_agree(docs, monkeypatch):
-    whole = Counter((r.doc_id, r.n_removed) for r in substring_dedup.dedup(docs).collect())
+def test_substring_factors(docs, doc_rows, monkeypatch):
+    """Each factor stands word for word at its place in the reference, and is as long as it can be."""
+    texts = {}
+    for doc_id, text, *_ in doc_rows:
+        texts.setdefault(doc_id, []).append(words(text))
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 500)
-    rows = []
-    own = [(i, 0, substring_dedup.window_hashes(np.arange(i, i + 40, dtype=np.uint64), 13)) for i in range(10)]
-    for r in substring_dedup._send(list(own), 4):
-        rows.append(r)
-    assert {r[0] for r in rows} <= set(range(4)) and whole
+    got = substring_dedup.dedup(docs, block_bytes=700).collect()
+    assert any(r.factors for r in got)
+    for r in got:
+        own = words(r.text)
+        covered = set()
+        for f in r.factors:
+            covered |= set(range(f.start, f.start + f.words))
+            assert f.words >= 13 and f.ref_doc < r.doc_id
+            assert any(w[f.ref_word : f.ref_word + f.words] == own[f.start : f.start + f.words] for w in texts[f.ref_doc])
+        assert len(covered) == r.n_removed == sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2]))
+    starts = [f.start for r in got for f in r.factors]
+    assert len(starts) < sum(r.n_removed for r in got) / 13 + len(got)  # runs, not single windows
+
+
+def test_substring_bytes_do_not_grow_with_the_blocks():
+    rng = np.random.default_rng(4)
+    rows = [(i, i * 7, rng.integers(0, 2**63, 600).astype(np.uint64)) for i in range(3000)]
+    sent = {blocks: [r[3] for r in substring_dedup._send(list(rows), blocks)] for blocks in (32, 2048)}
+    size = {blocks: sum(map(len, blobs)) for blocks, blobs in sent.items()}
+    squeezed = {blocks: len(zlib.compress(b"".join(blobs), 1)) for blocks, blobs in sent.items()}
+    assert size[2048] < 2 * size[32] and squeezed[2048] < 1.35 * squeezed[32]
 
 
 def jaccard_expected(doc_rows):
@@ -305,6 +325,7 @@ CONV = "conv_id long, turn long, role string, text string, valid int, segments s
 
 def test_chat(spark):
     rows = [(1, 1, "assistant", "a#<\\b\\h"), (1, 0, "user", None), (2, 0, "assistant", ""), (2, 1, None, "x: y"), (3, 0, "sys:tem", "</turn>\n### User: "), (3, None, "user", "\\"), (4, 0, "user", "q"), (4, 0, "user", "q")]
+    rows += [(6, 0, "Assistant", "not masked"), (6, 1, "assistant", "masked"), (6, 2, "\\r", "r"), (7, 0, "User", "u"), (7, 1, "System", "\\rAssistant"), (7, 2, "\\rUser", "#")]
     rows += [(None, 0, "user", "n"), (5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "é😀" * 50), (5, 3, "assistant", "twice")]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], CONV)
     got = {r.conv_id: r for r in chat.digest(chat.format_chats(chat.with_extra(table))).collect()}
@@ -316,7 +337,7 @@ def test_chat(spark):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
-    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: True, 5: False, -7: True}
+    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: True, 5: False, 6: False, 7: False, -7: True}
     assert chat.digest(chat.format_chats(spark.createDataFrame([], CONV))).collect() == []
 
 
