@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = r"[\p{L}\p{N}'$]+"
-SYMBOL = r"[^\p{L}\p{N}\s'$.,;:!?\-]"
+TOKEN = r"[\p{IsAlphabetic}\p{N}'$]+"
+SYMBOL = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}\-']|[[^\x00-\x7F]&&[^\p{IsAlphabetic}]]"
 QUERY_CHARS = 256
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits, apostrophe and dollar."""
+    """Lower-case runs of letters with their vowel signs, digits, apostrophe and dollar."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
@@ -60,14 +60,25 @@ def parsed_id(shown: Column) -> Column:
     return F.when(shown.rlike("^k?[0-9a-f]{12}$"), F.conv(F.right(shown, F.lit(12)), 16, 10).cast("long"))
 
 
+SLOTS = {"read_well": "verdict", "read_wrong": "verdict", "missing": "missing", "great_fit": "fit", "other_word": "fit", "no_fit": "fit", "offensive": "offensive", "note": "note"}
+"""Reasons of one slot replace each other."""
+
+
+def slot_of(reason: Column, clears: Column) -> Column:
+    """A clearing report takes the slot of what it clears; without that, none."""
+    slots = F.create_map(*[F.lit(x) for kv in SLOTS.items() for x in kv])
+    return F.coalesce(F.try_element_at(slots, F.when(reason == "clear", clears).otherwise(reason)), F.lit(""))
+
+
 def report_key(query: Column, target: Column, slot: Column) -> Column:
     zero = F.lit("\0")
     return F.substring(F.sha1(F.encode(F.concat(query, zero, target, zero, slot), "UTF-8")), 1, 16)
 
 
 def is_glyphy(text: Column) -> Column:
-    """Symbols are left when end marks are stripped."""
-    return F.regexp_replace(text, r"[!?.,;:]+$", "").rlike(SYMBOL)
+    """Symbols stand in it, end marks aside; end marks alone are symbols, and so is what is neither ASCII nor a letter."""
+    bare = F.regexp_replace(text, r"[!?.,;:]+$", "")
+    return F.when(bare == "", text).otherwise(bare).rlike(SYMBOL)
 
 
 def squeezed_to_two(text: Column) -> Column:

@@ -44,10 +44,11 @@ def page(scored: DataFrame, key: str, by: tuple[str, ...] = (), offset: int = 0,
     return ranked(scored, key, by).where((F.col("rank") >= offset) & (F.col("rank") < offset + limit))
 
 
-def _fold(items: Column, threshold: float) -> Column:
-    """Keeps an item of an ordered array if it is no more like any kept one than the threshold."""
+def _fold(items: Column, threshold: float, want: int) -> Column:
+    """Keeps an item of an ordered array if it is no more like any kept one than the threshold, until `want` are kept."""
     empty = F.slice(items, 1, 0)
-    return F.aggregate(items, empty, lambda kept, x: F.when(F.exists(kept, lambda k: jaccard(k["chars"], x["chars"]) > threshold), kept).otherwise(F.array_append(kept, x)))
+    like = lambda kept, x: F.exists(kept, lambda k: jaccard(k["chars"], x["chars"]) > threshold)
+    return F.aggregate(items, empty, lambda kept, x: F.when((F.size(kept) >= want) | like(kept, x), kept).otherwise(F.array_append(kept, x)))
 
 
 def thinned(scored: DataFrame, key: str, by: tuple[str, ...], thinning: str = "normal", offset: int = 0, limit: int = 10) -> DataFrame:
@@ -64,7 +65,7 @@ def thinned(scored: DataFrame, key: str, by: tuple[str, ...], thinning: str = "n
     item = F.struct(F.col("rank"), F.col(key), F.col("score"), F.col("chars"))
 
     def folded(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count("*").alias("n")).select(*by, "n", _fold(F.col("items"), threshold).alias("kept"))
+        return rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count("*").alias("n")).select(*by, "n", _fold(F.col("items"), threshold, want).alias("kept"))
 
     head = folded(order.where(F.col("rank") < HEAD * want))
     is_short = (F.size("kept") < want) & (F.col("n") >= HEAD * want)

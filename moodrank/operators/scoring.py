@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The emotions in their order, weights, bounds and penalties of the score.
 EMOTIONS = ["happy", "laughing", "excited", "love", "flirty", "playful", "smug", "proud", "calm", "sleepy", "sad", "angry", "scared", "surprised", "confused", "shy", "sorry", "bored", "disgusted"]
 WEIGHTS = {"emotion": 0.5, "dense": 1.2, "engine": 1.2, "lexical": 0.2}
 TIER_CREDIT = [0.5, 0.8, 1.0]
@@ -85,8 +86,9 @@ def length_part(length: Column, long_at: int = LONG_AT) -> Column:
 
 
 def suggestive_part(suggestive: Column, asked: bool = False, strict: bool = False, off: bool = False) -> Column:
+    """A bonus where it was asked for and may be; else a penalty that safety `off` lifts."""
     v = 0.05 * F.pow(F.lit(4.0), suggestive - 1)
-    return F.when(suggestive >= INNUENDO, (2 * v if asked and not strict else F.lit(0.0)) - (F.lit(0.0) if off else v)).otherwise(0.0)
+    return F.when(suggestive >= INNUENDO, 2 * v if asked and not strict else F.lit(0.0) if off else -v).otherwise(0.0)
 
 
 def lenny_part(lenny: Column, asked: bool = False, allow: bool = False) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from .functions import text as tx
 from .operators import ranking, scoring, state
 from .plans import reader
-from .sources import config
+from .sources import catalog, config
 
 PAIR_BLOCK = 512
 """Items that are paired with as many others at once."""
@@ -65,7 +65,7 @@ FV = """fv AS (SELECT d.doc_id, d.text, length(d.text) AS len, a[1:19] AS r, a[2
 P = [round(0.1 - 0.005 * i, 4) for i in range(19)]
 PROFILE = f"{[float(p) for p in P]}::DOUBLE[]"
 DOT = f"list_sum(list_transform(list_zip({PROFILE}, r), lambda z: z[1] * z[2]))"
-TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}''$]+')"
+TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}''$]+')"
 
 
 def profile() -> Column:
@@ -93,9 +93,9 @@ def char_set_docs(spark, d):
 
 @query(r"""WITH c AS (SELECT item_id, list_distinct(regexp_extract_all(text, '\S')) AS s FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard
-FROM c a JOIN c b ON a.item_id < b.item_id WHERE a.item_id < 20 AND len(list_distinct(list_concat(a.s, b.s))) > 0""")
+FROM c a JOIN c b ON a.item_id < b.item_id WHERE len(list_distinct(list_concat(a.s, b.s))) > 0""")
 def jaccard_pairs(spark, d):
-    """Every pair of items, block against block. The SQL beside it holds only the pairs whose smaller id is under 20."""
+    """Every pair of items, block against block."""
     c = read(spark, d, "benchmark").select("item_id", tx.char_set(F.col("text")).alias("s"))
     n = -(-c.count() // PAIR_BLOCK) or 1
     c = c.withColumn("g", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
@@ -115,18 +115,26 @@ def stretch_forms(spark, d):
 
 
 @query("""SELECT page_id, row_number() OVER (ORDER BY length(html), page_id)::BIGINT - 1 AS rank,
-  round(1 - 0.001 * (row_number() OVER (ORDER BY length(html), page_id) - 1), 6)::DOUBLE AS score FROM pages WHERE contains(html, '<table') ORDER BY length(html), page_id LIMIT 50""")
+  round(1 - 0.001 * (row_number() OVER (ORDER BY length(html), page_id) - 1), 6)::DOUBLE AS score FROM pages WHERE contains(html, '<p') ORDER BY length(html), page_id LIMIT 50""")
 def glyph_substring(spark, d):
     """The 50 shortest pages that hold a string, as a pasted symbol finds items."""
-    p = read(spark, d, "pages").where(F.contains("html", F.lit("<table"))).select("page_id", F.length("html").alias("len"))
+    p = read(spark, d, "pages").where(F.contains("html", F.lit("<p"))).select("page_id", F.length("html").alias("len"))
     top = p.orderBy("len", "page_id").limit(50)  # a page: the window sees 50 rows
     rank = F.row_number().over(Window.orderBy("len", "page_id")).cast("long") - 1
     return top.select("page_id", rank.alias("rank")).withColumn("score", r6(1 - F.col("rank") * F.lit(0.001)))
 
 
-@query(r"SELECT page_id, regexp_matches(regexp_replace(url, '[!?.,;:]+$', ''), '[^\p{L}\p{N}\s''$.,;:!?\-]') AS glyphy FROM pages")
+GLYPHY = ["!!", "...", "a.b", "$5", "½", "ok!", "huh?!", "naïve", "don't", "so-so", "(╯°□°)", "two words", "寒い", "10"]
+"""Short texts beside those of the conversations: end marks alone, symbols inside, digits that are no ASCII, plain words."""
+
+
+@query(r"""WITH t AS (SELECT 'c' || conv_id || '/' || turn AS key, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 'x' || text, text FROM (SELECT unnest({}) AS text)),
+b AS (SELECT key, CASE WHEN regexp_replace(text, '[!?.,;:]+$', '') = '' THEN text ELSE regexp_replace(text, '[!?.,;:]+$', '') END AS text FROM t)
+SELECT key, regexp_matches(text, '[^\p{{L}}\p{{M}}\p{{N}}\s''-]') OR regexp_matches(text, '[^\x00-\x7F\p{{L}}\p{{M}}]') AS glyphy FROM b""".format([x.replace("'", "’’") for x in GLYPHY]).replace("’’", "''").replace('"', "'"))
 def is_glyphy_flag(spark, d):
-    return read(spark, d, "pages").select("page_id", tx.is_glyphy(F.col("url")).alias("glyphy"))
+    c = read(spark, d, "conversations").where("text IS NOT NULL").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("key"), "text")
+    x = spark.range(1).select(F.explode(F.array(*map(F.lit, GLYPHY))).alias("text")).select(F.concat(F.lit("x"), "text").alias("key"), "text")
+    return c.unionByName(x).select("key", tx.is_glyphy(F.col("text")).alias("glyphy"))
 
 
 @query("SELECT conv_id, turn, substr(sha1(coalesce(role, '') || chr(0) || substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 256) || chr(0) || 's'), 1, 16) AS key FROM conversations")
@@ -190,11 +198,11 @@ def postings_build(spark, d):
     return doc_postings(spark, d).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.sum("tier").alias("tiers"))
 
 
-QWORDS = f"q AS (SELECT DISTINCT item_id AS qid, unnest(({TOKENS.format('text')})[1:4]) AS word FROM benchmark)"
+QWORDS = f"q AS (SELECT DISTINCT item_id AS qid, unnest({TOKENS.format('text')}) AS word FROM benchmark)"
 
 
 def query_words(spark: SparkSession, d: str) -> DataFrame:
-    """All words of each benchmark text. The SQL of lexical_credit and search_batch holds only the first four."""
+    """All words of each benchmark text."""
     words = tx.tokens(F.col("text"))
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words).alias("word")).where(F.length("word") >= 2).distinct()
 
@@ -209,7 +217,7 @@ def lexical_credit(spark, d):
 
 
 NEIGHBOURS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-sim AS (SELECT a.vec_id AS term, b.vec_id AS item, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id < 16),
+sim AS (SELECT a.vec_id AS term, b.vec_id AS item, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 lists AS (SELECT term, (row_number() OVER (PARTITION BY term ORDER BY c DESC, item) - 1)::INT AS rank, item FROM sim QUALIFY rank < 32)"""
 
 
@@ -252,16 +260,16 @@ def neighbours(spark: SparkSession, d: str, k: int = 32) -> DataFrame:
 
 @query(f"WITH {NEIGHBOURS} SELECT * FROM lists")
 def dense_topk_lists(spark, d):
-    """Lists of all vectors. The SQL beside it holds only those of ids under 16."""
+    """Lists of all vectors."""
     return neighbours(spark, d)
 
 
-@query(f"""WITH {NEIGHBOURS}, t AS (SELECT c_custkey % 8 AS qid, c_custkey AS term, 0.5 + (c_custkey % 2) * 0.5 AS weight, c_custkey % 5 = 0 AS negated FROM customer WHERE c_custkey < 20),
+@query(f"""WITH {NEIGHBOURS}, t AS (SELECT c_custkey % 8 AS qid, c_custkey AS term, 0.5 + (c_custkey % 2) * 0.5 AS weight, c_custkey % 5 = 0 AS negated FROM customer),
 l AS (SELECT * FROM t WHERE NOT negated AND term IN (SELECT term FROM lists)), s AS (SELECT qid, sum(weight)::DOUBLE AS whole FROM l GROUP BY qid)
 SELECT l.qid, lists.item, round(sum(l.weight::DOUBLE / (1 + lists.rank::DOUBLE / 10)) / any_value(s.whole), 6) AS credit
 FROM l JOIN lists ON l.term = lists.term JOIN s ON s.qid = l.qid GROUP BY l.qid, lists.item""")
 def dense_credit(spark, d):
-    """All customers as terms, with the lists of all vectors. The SQL beside it takes only customers under 20 and lists of ids under 16."""
+    """All customers as terms, with the lists of all vectors."""
     key = F.col("c_custkey")
     terms = read(spark, d, "customer").select((key % 8).alias("qid"), key.alias("term"), (0.5 + (key % 2) * 0.5).alias("weight"), (key % 5 == 0).alias("negated"))
     return scoring.list_credit(terms, neighbours(spark, d)).withColumn("credit", r6(F.col("credit")))
@@ -420,8 +428,7 @@ def spell_correct(spark, d):
     return near.withColumn("place", F.row_number().over(order)).where("place = 1").select("meant", "typed", "key", "edits")
 
 
-SUFFIXES = ["s", "es", "ed", "d", "ing", "er", "ers", "y", "ly", "ish"]
-"""The endings a word may have behind a known one."""
+SUFFIXES = reader.SUFFIXES
 
 
 @query(f"""WITH {VOCAB}, w AS (SELECT key || suffix AS word FROM vocab, (SELECT unnest({SUFFIXES}) AS suffix) WHERE length(key) >= 4),
@@ -465,11 +472,11 @@ def pin_layers(spark, d):
     return state.layered_pins(pins)
 
 
-@query("""WITH RECURSIVE a AS (SELECT n_nationkey AS old, n_nationkey + 5 AS new FROM nation WHERE n_nationkey < 20),
+@query("""WITH RECURSIVE a AS (SELECT n_nationkey AS old, n_nationkey + 5 AS new FROM nation),
 c(old, final, hops) AS (SELECT old, new, 1 FROM a UNION ALL SELECT c.old, a.new, hops + 1 FROM c JOIN a ON a.old = c.final)
 SELECT old, arg_max(final, hops)::INT AS final, max(hops)::INT AS hops FROM c GROUP BY old""")
 def alias_chain(spark, d):
-    n = read(spark, d, "nation").where("n_nationkey < 20")
+    n = read(spark, d, "nation")
     return state.chains(n.select(F.col("n_nationkey").alias("old"), (F.col("n_nationkey") + 5).alias("new")))
 
 
@@ -599,13 +606,16 @@ def quantise_bins(spark, d):
     return read(spark, d, "embeddings").select("vec_id", bin_.alias("bin"), r6((bin_ + 0.5) / 256).alias("value"))
 
 
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
 @query()
 def checksum_table(spark, d):
-    tables = ["region", "nation", "customer", "supplier", "part"]
-    sums = [read(spark, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("*")).alias("checksum")) for t in tables]
-    out = sums[0]
-    for s in sums[1:]:
-        out = out.unionByName(s)
+    """Rows and checksum of every table; the same for the same rows in any order, and equal rows count each."""
+    parts = [catalog.checksum_row(read(spark, d, t)).select(F.lit(t).alias("name"), "rows", "checksum") for t in TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

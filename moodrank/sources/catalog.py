@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,26 +81,62 @@ def subset(catalog: Catalog, keep: DataFrame, neighbours: int) -> Catalog:
     return Catalog(tables, dict(catalog.manifest))
 
 
+def checksum_row(df: DataFrame) -> DataFrame:
+    """rows and checksum, one row: the sum of all rows' hashes, so that equal rows do not cancel out."""
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+
+
 def checksum(df: DataFrame) -> str:
     """The same for the same rows in any order."""
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("x")).head()
-    return f"{row['n']}:{row['x']}"
+    row = checksum_row(df).head()
+    return f"{row['rows']}:{row['checksum']}"
+
+
+def _paths(spark: SparkSession, *names: str):
+    jvm = spark.sparkContext._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), paths
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a folder aside and then put it in the place of the old one, so that a reader finds the old or the new."""
+    aside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    write(aside)
+    fs, (target, new, gone) = _paths(spark, path, aside, old)
+    had = fs.exists(target)
+    if had and not fs.rename(target, gone):
+        raise CatalogError(f"cannot move {path}")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(gone, target)
+        raise CatalogError(f"cannot replace {path}")
+    if had:
+        fs.delete(gone, True)
 
 
 def save(catalog: Catalog, path: str) -> None:
-    manifest = dict(catalog.manifest)
-    for name, df in catalog.tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        manifest[f"checksum.{name}"] = checksum(df.sparkSession.read.parquet(f"{path}/{name}"))
+    """Checked, written aside with a manifest that holds each table's checksum, and put in place."""
     spark = next(iter(catalog.tables.values())).sparkSession
-    spark.createDataFrame(sorted(manifest.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    if "items" in catalog.tables:
+        check_items(catalog["items"])
+
+    def write(folder: str) -> None:
+        manifest = dict(catalog.manifest)
+        for name, df in catalog.tables.items():
+            df.write.parquet(f"{folder}/{name}")
+            manifest[f"checksum.{name}"] = checksum(spark.read.parquet(f"{folder}/{name}"))
+        spark.createDataFrame(sorted(manifest.items()), "key string, value string").coalesce(1).write.parquet(f"{folder}/manifest")
+
+    replaced(spark, path, write)
 
 
 def open_catalog(spark: SparkSession, path: str, version: str | None = None, verify: bool = False) -> Catalog:
     """Tables named in the manifest; refuses another data version, and on request tables that changed."""
     manifest = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/manifest").collect()}
-    found = manifest.get("data_version")
-    if version is not None and found not in (version, "dev"):
+    found = manifest.get("data_version", "")
+    # Versions X.Y with the same X can be read by one engine; other names only as they are.
+    major = lambda v: v.split(".")[0] if re.fullmatch(r"\d+\.\d+", v) else v
+    if version is not None and found != "dev" and major(found) != major(version):
         raise CatalogError(f"data version {found}, not {version}")
     tables = {k.removeprefix("checksum."): spark.read.parquet(f"{path}/{k.removeprefix('checksum.')}") for k in manifest if k.startswith("checksum.")}
     if verify:
