@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as tx
-from .operators import ranking, scoring, state
+from .operators import ranking, reports, scoring, search, state, words
 from .plans import reader
-from .sources import catalog, config
+from .sources import catalog, compile, config, overlays
 
 PAIR_BLOCK = 512
 """Items that are paired with as many others at once."""
@@ -405,9 +405,8 @@ def vocab(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VOCAB}, p AS (SELECT DISTINCT substr(key, 1, 2) AS prefix FROM vocab), k AS (SELECT prefix, key, tier, n, (row_number() OVER (PARTITION BY prefix ORDER BY tier DESC, n DESC, key))::INT AS place FROM p JOIN vocab ON starts_with(key, prefix)) SELECT * FROM k WHERE place <= 5")
 def complete_prefix(spark, d):
-    v = vocab(spark, d).withColumn("prefix", F.substring("key", 1, 2))
-    order = Window.partitionBy("prefix").orderBy(F.col("tier").desc(), F.col("n").desc(), "key")
-    return v.withColumn("place", F.row_number().over(order).cast("int")).where("place <= 5").select("prefix", "key", "tier", "n", "place")
+    v = vocab(spark, d).withColumn("pinned", F.lit(False))
+    return words.completions(v.select(F.substring("key", 1, 2).alias("prefix")), v, 5)
 
 
 @query(f"""WITH {VOCAB}, t AS (SELECT key AS meant, substr(key, 1, 2) || substr(key, 4) AS typed FROM vocab WHERE length(key) >= 6),
@@ -418,14 +417,16 @@ def spell_correct(spark, d):
     """Words without their third letter, against the vocabulary: at most one edit, where all edit distances agree."""
     v = vocab(spark, d)
     typed = v.where(F.length("key") >= 6).select(F.col("key").alias("meant"), F.concat(F.substring("key", 1, 2), F.substring("key", 4, 1000)).alias("typed"))
-    # One edit apart: some form with one letter dropped is the same, so an equality join finds all pairs.
-    forms = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
-    left = typed.select("meant", "typed", F.explode(forms(F.col("typed"))).alias("form"))
-    right = v.select("key", "tier", "n", F.explode(forms(F.col("key"))).alias("form"))
-    near = left.join(right, "form").select("meant", "typed", "key", "tier", "n").distinct()
-    near = near.withColumn("edits", tx.osa_distance(F.col("typed"), F.col("key"), F.lit(1))).where("edits <= 1")
-    order = Window.partitionBy("meant").orderBy("edits", F.col("tier").desc(), F.col("n").desc(), "key")
-    return near.withColumn("place", F.row_number().over(order)).where("place = 1").select("meant", "typed", "key", "edits")
+    found = words.corrections(typed.select("typed"), v.withColumn("tier", F.col("tier") + 1), alone=False)
+    return typed.join(found, "typed").select("meant", "typed", "key", "edits")
+
+
+@query()
+def spell_correct_far(spark, d):
+    """Words without their third letter and with their last two swapped, against the vocabulary: up to three edits."""
+    v = vocab(spark, d).withColumn("tier", F.col("tier") + 1)
+    wrong = F.concat(F.substring("key", 1, 2), F.expr("substring(key, 4, length(key) - 5)"), F.right("key", F.lit(1)), F.expr("substring(key, length(key) - 1, 1)"))
+    return words.corrections(v.where(F.length("key") >= 8).select(wrong.alias("typed")), v)
 
 
 SUFFIXES = reader.SUFFIXES
@@ -436,11 +437,9 @@ k AS (SELECT w.word, v.key, row_number() OVER (PARTITION BY w.word ORDER BY leng
   ON starts_with(w.word, v.key) AND length(w.word) >= 5 AND length(v.key) >= 4 AND substr(w.word, length(v.key) + 1) IN (SELECT unnest({SUFFIXES})) AND (substr(w.word, length(v.key) + 1) <> 'y' OR v.tier <> 0))
 SELECT word, key FROM k WHERE place = 1""")
 def stem_suffix(spark, d):
-    v = vocab(spark, d).where(F.length("key") >= 4)
-    words = v.select(F.explode(F.array(*[F.concat("key", F.lit(s)) for s in SUFFIXES])).alias("word")).where(F.length("word") >= 5).distinct()
-    stems = words.select("word", F.explode(F.array(*map(F.lit, SUFFIXES))).alias("suffix")).where(F.endswith("word", "suffix"))
-    stems = stems.withColumn("key", F.expr("substring(word, 1, length(word) - length(suffix))")).join(v, "key").where("suffix <> 'y' OR tier <> 0")
-    return stems.groupBy("word").agg(F.max_by("key", F.length("key")).alias("key"))
+    v = vocab(spark, d)
+    typed = v.where(F.length("key") >= 4).select(F.explode(F.array(*[F.concat("key", F.lit(x)) for x in SUFFIXES])).alias("word")).distinct()
+    return words.stems(typed, v)
 
 
 # Tables and overlays
@@ -642,3 +641,148 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 def read_queries(spark, d):
     """What the query reader makes of each benchmark text, a batch at a time on the executors."""
     return reader.read_batch(read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), reader.SMALL)
+
+
+# Catalog operators
+
+
+ROUNDED = ", ".join(f"round(r[{i + 1}], 3) AS {e}" for i, e in enumerate(scoring.EMOTIONS[:5]))
+
+
+@query(f"""WITH {FV} SELECT doc_id, {ROUNDED}, round(quality, 2) AS quality, round(multi, 3) AS multi, array_to_string(list_filter([
+  CASE WHEN suggestive >= 0.5 THEN 'suggestive' END, CASE WHEN suggestive >= 1.5 THEN 'explicit' END, CASE WHEN lenny >= 0.5 THEN 'lenny' END, CASE WHEN crude >= 0.5 THEN 'crude' END, CASE WHEN multi > 0.5 THEN 'multi' END,
+  CASE WHEN face < 0.5 THEN 'not_face' END, CASE WHEN len > 14 THEN 'long' END], lambda x: x IS NOT NULL), ',') AS flags FROM fv""")
+def entry_shape(spark, d):
+    """Items as a search sends them: named emotions to three places, quality to two, names of flags."""
+    rows = items(spark, d).withColumns({"score": F.lit(0.0), "rank": F.lit(0), "pinned": F.lit(False), "canonical_for": F.array().cast("array<string>"), "qid": F.col("doc_id")})
+    shaped, _ = search.shaped(rows, scoring.EMOTIONS, ["flags", "emotions_all", "quality", "attrs"])
+    return shaped.select(F.col("qid").alias("doc_id"), *[F.col("emotions_all")[e].alias(e) for e in scoring.EMOTIONS[:5]], "quality", F.col("attrs.multi").alias("multi"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("SELECT l_suppkey AS face, array_to_string(list_sort(list_distinct(list('t' || (l_partkey % 50)))), ',') AS concepts FROM lineitem GROUP BY l_suppkey")
+def canonical_for_index(spark, d):
+    pins = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("face_id"), F.concat(F.lit("t"), F.col("l_partkey") % 50).alias("term"))
+    return search.canonical_for(pins).select(F.col("face_id").alias("face"), F.array_join("canonical_for", ",").alias("concepts"))
+
+
+@query("""WITH o AS (SELECT DISTINCT p_brand AS term FROM part WHERE p_size > 48),
+own AS (SELECT p_brand AS term, p_partkey AS face, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS place FROM part WHERE p_size > 48 AND p_partkey % 3 > 0)
+SELECT p_brand AS term, p_partkey AS face, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS place, false AS mine FROM part WHERE p_brand NOT IN (SELECT term FROM o) AND p_partkey % 7 > 0 QUALIFY place <= 3
+UNION ALL SELECT term, face, place::INT, true FROM own WHERE place <= 3""")
+def overlay_override(spark, d):
+    """Shipped pins under a person's own: a term that they pinned anything for, or cleared, has only theirs; what they demoted goes."""
+    p = read(spark, d, "part").select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("face_id"), "p_size")
+    order = Window.partitionBy("term").orderBy("face_id")
+    shipped = p.where("face_id % 7 > 0").withColumn("place", F.row_number().over(order) - 1).where("place < 3")
+    mine = p.where("p_size > 48").select("term", F.lit(1).alias("layer"), F.col("p_size").cast("long").alias("rank"), F.col("face_id").alias("seq"), F.col("face_id").alias("face"), F.lit(False).alias("clear"))
+    cleared = p.where("p_size > 48").select("term", F.lit(0).alias("layer"), F.lit(0).cast("long").alias("rank"), F.col("face_id").alias("seq"), F.col("face_id").alias("face"), F.lit(True).alias("clear"))
+    demoted = p.where("face_id % 7 = 0").select("term", "face_id", F.lit(-3.0).alias("boost"))
+    force = overlays.canonical_in_force(shipped, overlays.Overlay(pins=[mine.where("face % 3 > 0"), cleared]), demoted)
+    return force.select("term", F.col("face_id").alias("face"), (F.col("place") + 1).cast("int").alias("place"), F.col("user").alias("mine"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS seq, p_brand AS key, unnest([lower(p_name), lower(p_type)]) AS spelling FROM part) SELECT spelling, arg_min(key, seq) AS key FROM s GROUP BY spelling""")
+def phrase_index_first(spark, d):
+    """Each spelling belongs to the first phrase that has it."""
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("key"), F.array("p_name", "p_type").alias("match"))
+    own = rows.select(F.lower("key").alias("spelling")).distinct()
+    # Keys are spellings too; those of this table hold a mark that no word has and become two words.
+    found = compile.phrase_index(rows).select("spelling", "key")
+    return found.join(own.select(F.regexp_replace("spelling", "#", " ").alias("spelling")), "spelling", "left_anti")
+
+
+@query("""WITH x AS (SELECT unnest(['s:kmoji', CASE WHEN source IS NULL THEN 'none' ELSE lang || ':' || source END]) AS class FROM documents) SELECT class, count(*)::BIGINT AS n FROM x WHERE class <> 's:kmoji' GROUP BY class""")
+def policy_violations(spark, d):
+    """Classes of provenance that a public catalog may not hold, and how often they stand."""
+    label = F.when(F.col("source").isNull(), "none").otherwise(F.concat("lang", F.lit(":"), "source"))
+    docs = read(spark, d, "documents").select("doc_id", F.array(F.concat(F.lit("s:kmoji, "), label)).alias("wc"))
+    return compile.violations(docs, "doc_id", F.col("wc"), compile.PUBLIC_FACE)
+
+
+EDGES = "[-1, -0.75, -0.5, -0.25, -0.1, 0, 0.1, 0.25, 0.5, 0.75]"
+
+
+@query(f"SELECT vec_id, len(list_filter({EDGES}::DOUBLE[], lambda e: e <= embedding[2]::DOUBLE AND e > -1))::INT AS bin, embedding[2]::DOUBLE >= 0.1 AS above FROM embeddings")
+def quantise_thresholds(spark, d):
+    """Bins with thresholds among their edges: no value changes sides of one."""
+    edges = compile.cut_bins([-0.1, 0.1], -1.0, 1.0, 8)
+    x = F.col("embedding")[1].cast("double")
+    bin_, middle = compile.quantised(x, edges)
+    return read(spark, d, "embeddings").select("vec_id", bin_.cast("int").alias("bin"), (middle >= 0.1).alias("above"))
+
+
+# Reports and the collector
+
+
+REPORTS = """r AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, ['great_fit', 'no_fit', 'offensive', 'read_well', 'missing', 'note', 'clear', 'bad'][(conv_id + turn) % 8 + 1] AS reason,
+  CASE WHEN conv_id % 3 > 0 THEN conv_id END AS face_id, CASE WHEN turn % 2 = 0 THEN left(text, 20) END AS note FROM conversations)"""
+
+
+def sample_reports(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    reasons = ["great_fit", "no_fit", "offensive", "read_well", "missing", "note", "clear", "bad"]
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("index"), "conv_id", "turn", F.col("text").alias("query"), F.element_at(F.array(*map(F.lit, reasons)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int")).alias("reason"),
+        F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")).alias("face_id"), F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 20)).alias("note"), F.array().cast("array<long>").alias("shown"), F.lit("offensive").alias("clears"), F.lower("role").alias("term_key"),
+    )
+
+
+@query(f"""WITH {REPORTS} SELECT id, CASE WHEN reason = 'bad' THEN 'unknown reason' WHEN reason IN ('great_fit', 'no_fit', 'offensive') AND face_id IS NULL THEN 'reason needs a face'
+  WHEN reason IN ('read_well', 'missing') AND face_id IS NOT NULL THEN 'reason needs a query' WHEN reason = 'note' AND trim(coalesce(note, '')) = '' THEN 'note required' END AS error FROM r WHERE error IS NOT NULL""")
+def report_validity(spark, d):
+    return reports.checked(sample_reports(spark, d))[1].select(F.col("index").alias("id"), "error")
+
+
+@query(f"""WITH {REPORTS}, e AS (SELECT r.*, CASE reason WHEN 'clear' THEN 'offensive' ELSE reason END AS what, lower(role) AS term FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn WHERE face_id IS NOT NULL)
+SELECT CASE what WHEN 'offensive' THEN 'block' WHEN 'great_fit' THEN 'pick' ELSE 'demote' END AS effect, term, reason = 'clear' AS undo, count(*)::BIGINT AS n FROM e WHERE what IN ('offensive', 'great_fit') OR (what = 'no_fit' AND term IS NOT NULL) GROUP BY ALL""")
+def report_effects(spark, d):
+    return reports.effects(sample_reports(spark, d)).groupBy("effect", "term", "undo").agg(F.count("*").alias("n"))
+
+
+@query("""WITH last AS (SELECT arg_max(event_id, event_id) AS event_id, user_id, arg_max(event_type, event_id) AS reason, arg_max(ts, event_id) AS ts FROM events GROUP BY user_id),
+sent AS (SELECT user_id, arg_max(l_returnflag = 'R', l_orderkey * 10 + l_linenumber) AS cleared FROM lineitem JOIN (SELECT DISTINCT user_id FROM events) u ON l_suppkey = user_id GROUP BY user_id),
+m AS (SELECT max(ts) AS now FROM events)
+SELECT event_id, user_id FROM last, m WHERE ts <= now - INTERVAL 120 SECOND AND event_id % 11 > 0 AND (reason <> 'error' OR user_id IN (SELECT user_id FROM sent WHERE NOT cleared))""")
+def report_pending(spark, d):
+    """The last report of each key that is settled and not sent; a clearing one (here `error`) only if what it clears was."""
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    queue = e.select(F.col("event_id").alias("report_id"), F.col("user_id").alias("key"), F.when(F.col("event_type") == "error", "clear").otherwise(F.col("event_type")).alias("reason"), "ts", F.col("event_id").alias("seq"))
+    sent = read(spark, d, "lineitem").select((F.col("l_orderkey") * 11_000_000).alias("report_id"), F.col("l_suppkey").alias("key"), (F.col("l_returnflag") == "R").alias("clear"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sent_at"))
+    done = e.where("event_id % 11 = 0").select(F.col("event_id").alias("report_id"), F.lit(None).cast("long").alias("key"), F.lit(False).alias("clear"), F.lit(0).cast("long").alias("sent_at"))
+    now = e.agg(F.max("ts").alias("now")).head()["now"]
+    found = reports.pending(queue, sent.unionByName(done), F.lit(now).cast("timestamp"))
+    return found.select(F.col("report_id").alias("event_id"), F.col("key").alias("user_id"))
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events),
+f AS (SELECT day, row_number() OVER (PARTITION BY user_id, date_trunc('week', day) ORDER BY day) = 1 AS w, row_number() OVER (PARTITION BY user_id, date_trunc('month', day) ORDER BY day) = 1 AS m FROM p)
+(SELECT 'days' AS part, day::VARCHAR AS period, count(*)::BIGINT AS n FROM f GROUP BY day ORDER BY day DESC LIMIT 14)
+UNION ALL (SELECT 'weeks', strftime(day, '%Y-W%W') AS k, sum(w::INT)::BIGINT FROM f GROUP BY k ORDER BY k DESC LIMIT 8)
+UNION ALL (SELECT 'months', strftime(day, '%Y-%m') AS k, sum(m::INT)::BIGINT FROM f GROUP BY k ORDER BY k DESC LIMIT 6)""")
+def collector_rollups(spark, d):
+    """Installs a day, week and month of the last 14, 8 and 6 that have any."""
+    pings = read(spark, d, "events").select(F.col("user_id").alias("install"), F.to_date("ts").alias("day"))
+    parts = reports.rollups(reports.with_firsts(pings), read(spark, d, "events").select(F.col("user_id").alias("face"), F.lit("1").alias("bucket")))
+    out = None
+    for name in ("days", "weeks", "months"):
+        rows = parts[name].select(F.lit(name).alias("part"), "period", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH p AS (SELECT ('0x' || substr(sha1(event_type), 1, 12))::BIGINT AS face_id, 'user ' || (user_id % 10) AS term, pow(0.5, (1.9e9 - epoch(ts)) / (86400 * 3650)) AS w FROM events WHERE event_id % 3 > 0),
+b AS (SELECT face_id, term, w FROM p UNION ALL SELECT face_id, NULL, w FROM p) SELECT face_id, term, round(sum(w), 6) AS weight FROM b GROUP BY face_id, term""")
+def import_picks(spark, d):
+    """A pick log as usage weights: rows of other kinds left out, every pick for the item and for its query."""
+    e = read(spark, d, "events")
+    log = e.select(F.when(F.col("event_id") % 3 == 0, "search").alias("kind"), F.concat(F.lit(" User   "), F.col("user_id") % 10).alias("q"), F.col("event_type").alias("text"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    out = reports.import_picks(log, F.timestamp_seconds(F.lit(1.9e9)), 86400 * 3650)
+    return out.select("face_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@query("SELECT min(event_id) AS event_id, user_id FROM events WHERE user_id NOT IN (SELECT l_suppkey FROM lineitem) GROUP BY user_id")
+def ingest_once(spark, d):
+    """A posted batch into a store: keys that are there stay as they are, a key twice in the batch counts once."""
+    batch = read(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    stored = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("user_id"))
+    return reports.accepted(batch, stored, "user_id").select("event_id", "user_id")
