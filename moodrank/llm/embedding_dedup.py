@@ -5,7 +5,7 @@ pairs of codewords form a grid of cells; every vector is listed in its cell. A v
 multi-sequence order: by how far the two halves must move before they could be nearest to that cell's
 codewords, a heap holding the next candidates. It stops at the reach where the target recall is met: a set
 of probe vectors is compared with all rows by brute force and the reach that their links need is
-counted. Visitors and members of a cell are compared in double precision, so nothing below the
+counted. Recall is then measured on the links of other probes. Visitors and members of a cell are compared in double precision, so nothing below the
 threshold links; a link found from either side counts for both.
 
 Equal vectors are one class with a weight. Members and visitors of a large cell are dealt into chunks
@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved
 from .components import components
@@ -31,7 +32,7 @@ THRESHOLD = 0.9
 SAMPLE = 20_000
 """Vectors that the codebooks are fitted on, about."""
 PROBES = 512
-"""Vectors that recall is measured with, about."""
+"""Vectors that set the reach, about; as many others measure its recall."""
 TARGET = 1.0
 CHUNK = 1024
 BINS = 400
@@ -118,36 +119,43 @@ def made_up_reach(grid: Grid, probes: np.ndarray, threshold: float, share: float
     return float(np.quantile(moves[0][rows, cells // grid.size] + moves[1][rows, cells % grid.size], share))
 
 
-def needed_reach(classes: DataFrame, grid: Grid, probes: np.ndarray, threshold: float, target: float) -> tuple[float, float]:
-    """(reach, recall among the probes' links): the move that takes a probe to the cells of its links, or
-    them to its own, counted over all rows in bins."""
+def needed_reach(classes: DataFrame, grid: Grid, setting: list, measuring: list, threshold: float, target: float) -> tuple[float, float | None]:
+    """(reach, recall): the move that takes a probe to the cells of its links, or them to its own, counted over all rows in
+    bins for the probes that set the reach; and the share of the other probes' links within it, None if they have none.
+    Probes are (rep, vector); a vector is no link of its own."""
     top = 1 - threshold  # no link needs more: (0.2 - 0) / 2 squared distance at most
     edges = np.linspace(0, 2 * top, BINS + 1)
+    probes = unit(np.array([v for _, v in setting + measuring]))
+    reps = np.array([r for r, _ in setting + measuring], np.int64)
     probe_moves = grid.moves(probes)
-    probe_cells = grid.cells(probe_moves)
-    shared = classes.sparkSession.sparkContext.broadcast((grid, probes, probe_moves, probe_cells))
+    shared = classes.sparkSession.sparkContext.broadcast((grid, probes, reps, probe_moves, grid.cells(probe_moves), len(setting)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, p, moves, cells = shared.value
-        total = np.zeros(BINS + 1, np.int64)
+        g, p, ids, moves, cells, n_setting = shared.value
+        total = np.zeros((2, BINS + 1), np.int64)
         for pdf in batches:
             for lo in range(0, len(pdf), 4096):
-                x = unit(np.stack(pdf["e"].iloc[lo : lo + 4096].to_numpy()))
-                row, probe = np.nonzero(x @ p.T >= threshold)
+                part = pdf.iloc[lo : lo + 4096]
+                x = unit(np.stack(part["e"].to_numpy()))
+                row, probe = np.nonzero((x @ p.T >= threshold) & (part["rep"].to_numpy()[:, None] != ids[None, :]))
                 own = g.moves(x)
                 at = g.cells(own)[row]
                 there = moves[0][probe, at // g.size] + moves[1][probe, at % g.size]
                 back = own[0][row, cells[probe] // g.size] + own[1][row, cells[probe] % g.size]
-                total += np.bincount(np.minimum(np.searchsorted(edges, np.minimum(there, back)), BINS), minlength=BINS + 1)
-        yield pd.DataFrame({"bin": np.flatnonzero(total), "n": total[total > 0]})
-
-    got = classes.select("e").mapInPandas(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.bincount(got["bin"].to_numpy(int), got["n"].to_numpy(float), BINS + 1)
-    upto = np.cumsum(counts)
-    at = int(np.searchsorted(upto, target * upto[-1]))
-    reach = max(float(edges[min(at, BINS)] * MARGIN) if upto[-1] else 0.0, made_up_reach(grid, probes, threshold))
-    found = upto[min(BINS, int(np.searchsorted(edges, reach, "right")) - 1)] / max(upto[-1], 1)
-    return reach, float(found)
+                bins = np.minimum(np.searchsorted(edges, np.minimum(there, back)), BINS)
+                np.add.at(total, ((probe >= n_setting).astype(int), bins), 1)
+        which, bins = np.nonzero(total)
+        yield pd.DataFrame({"part": which, "bin": bins, "n": total[which, bins]})
+
+    got = classes.select("rep", "e").mapInPandas(run, "part int, bin int, n long").groupBy("part", "bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((2, BINS + 1))
+    np.add.at(counts, (got["part"].to_numpy(int), got["bin"].to_numpy(int)), got["n"].to_numpy(float))
+    shared.destroy()
+    upto = np.cumsum(counts, axis=1)
+    at = int(np.searchsorted(upto[0], target * upto[0, -1]))
+    reach = max(float(edges[min(at, BINS)] * MARGIN) if upto[0, -1] else 0.0, made_up_reach(grid, probes[: len(setting)], threshold))
+    found = upto[1, min(BINS, max(0, int(np.searchsorted(edges, reach, "right")) - 1))]
+    return reach, float(found / upto[1, -1]) if upto[1, -1] else None
 
 
 def _links(pdf: pd.DataFrame, grid: Grid, threshold: float) -> pd.DataFrame:
@@ -179,15 +187,18 @@ def _links(pdf: pd.DataFrame, grid: Grid, threshold: float) -> pd.DataFrame:
     return out[(out["n_links"] > 0) | (out["node"] != out["to"])]
 
 
-def _one_width(classes: DataFrame, threshold: float, target: float) -> tuple[DataFrame, float]:
+def _one_width(classes: DataFrame, threshold: float, target: float) -> tuple[DataFrame, float | None]:
     """classes(rep, e, w) of one vector length -> (node, n_links, to), and the recall measured."""
     spark = classes.sparkSession
     n = classes.count()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(2**30)) / F.lit(float(2**30))
-    take = lambda most: unit(np.array([r["e"] for r in classes.where(draw < min(1.0, most / n)).select("e").orderBy("rep").collect()] or [classes.head()["e"]]))
-    sample = take(SAMPLE)
-    grid = Grid(sample, int(np.clip(np.sqrt(n / 16), 2, 2048)))
-    grid.reach, recall = needed_reach(classes, grid, take(PROBES), threshold, target)
+    kind = classes.schema["e"].dataType.simpleString()
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.lit(2**30)) / F.lit(float(2**30))
+    drawn = lambda salt, most, share=1.0: [(r["rep"], r["e"]) for r in classes.where(draw(salt) < min(share, most / n)).select("rep", "e").orderBy("rep").collect()]
+    some = lambda rows: rows or [(r["rep"], r["e"]) for r in classes.select("rep", "e").limit(1).collect()]
+    grid = Grid(unit(np.array([v for _, v in some(drawn("sample", SAMPLE))])), int(np.clip(np.sqrt(n / 16), 2, 2048)))
+    setting = some(drawn("probe", PROBES, 0.5))
+    known = {r for r, _ in setting}
+    grid.reach, recall = needed_reach(classes, grid, setting, [x for x in drawn("measure", PROBES) if x[0] not in known], threshold, target)
     shared = spark.sparkContext.broadcast(grid)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +209,7 @@ def _one_width(classes: DataFrame, threshold: float, target: float) -> tuple[Dat
                 moves = g.moves(unit(np.stack(part["e"].to_numpy())))
                 yield part.assign(cell=g.cells(moves), to_visit=list(g.visits(moves)))
 
-    placed = saved(classes.mapInPandas(place, "rep long, e array<float>, w long, cell long, to_visit array<long>"), "imi-placed")
+    placed = saved(classes.mapInPandas(place, f"rep long, e {kind}, w long, cell long, to_visit array<long>"), "imi-placed")
     members = placed.select("rep", "e", "w", "cell", F.lit(False).alias("visits"))
     visitors = placed.select("rep", "e", "w", F.explode("to_visit").alias("cell"), F.lit(True).alias("visits"))
     both = members.unionByName(visitors)
@@ -218,21 +229,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     Vectors that are null, empty or zero or hold null or non-finite components link with nothing, as do
     vectors of different lengths; each is a component of its own. A row without an id links with nothing,
     has no component and is kept. Rows of one id are one node; a repeated vector links with its copies.
-    `recall` is the share of the probes' links that the index reaches, measured by brute force. Other
-    columns are ignored."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"), F.col("embedding").cast("array<double>").alias("d"))
+    `recall` is the share of probes' links that the index reaches, measured by brute force with probes that did not set
+    its reach; null if they have no links. Components keep their type, float or double. Other columns are ignored."""
+    kind = vectors.schema["embedding"].dataType
+    held = "array<float>" if getattr(kind, "elementType", None) == T.FloatType() else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(held).alias("e"), F.col("embedding").cast("array<double>").alias("d"))
     able = usable(F.col("d")) & F.exists("d", lambda x: x != 0) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("able", F.coalesce(able, F.lit(False))).drop("d")
     classes = rows.where("able").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
     classes = saved(classes, "imi-classes")
     widths = [r["n"] for r in classes.groupBy(F.size("e").alias("n")).count().orderBy("n").collect()]
-    out, worst = None, 1.0
+    out, worst = None, None
     for width in widths:
         own, recall = _one_width(classes.where(F.size("e") == width), threshold, target)
-        out, worst = (own if out is None else out.unionByName(own)), min(worst, recall)
+        out = own if out is None else out.unionByName(own)
+        worst = min((r for r in (worst, recall) if r is not None), default=None)
     if out is None:
         found = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return found.select("*", F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
+        return found.select("*", F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
     links = saved(out, "imi-links")
     parts = components(links.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = links.groupBy(F.col("node").alias("rep")).agg(F.sum("n_links").alias("n"))
@@ -240,4 +254,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     known = known.select("e", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     joined = rows.where("able").join(known, "e").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("NOT able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(worst).alias("recall"))
+    return joined.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(worst).cast("double").alias("recall"))

@@ -6,7 +6,7 @@ Runs of four symbols are counted over every trusted document, runs with REPEAT o
 (partial counts in each partition, then sums by shard). Joins of the count tables on their shared contexts give modified
 Kneser-Ney discounts, back-off weights and interpolated probabilities of all orders. A document's
 perplexity is two to the mean bits a symbol; it is rejected above its language's threshold, a fence
-set from quantiles of the trusted documents of that language.
+set from quantiles of trusted documents of that language that were held out from the counts.
 
 The finished tables are small, since there are few distinct runs of four symbols: up to
 MOST_CONTEXTS contexts they are compiled into lookup tables and broadcast; beyond that bound the
@@ -34,8 +34,10 @@ FENCE = 3.0
 """The threshold in bits a symbol: the upper quartile and FENCE times the distance between quartiles."""
 LEAST_SPREAD = 0.08
 """Least distance between quartiles, in bits a symbol."""
-LEAST_DOCS = 20
-"""A language with fewer trusted documents gets the threshold of all."""
+HELD_OUT = 4
+"""One in so many trusted documents is not counted: what the model says of it, it says of unseen text."""
+LEAST_DOCS = 8
+"""A language with fewer trusted documents held out gets the threshold of all."""
 SHORT = 7.5
 """The mean of n symbols varies by about SHORT / sqrt(n) bits; where that is over SHORT_FREE, texts
 of a few hundred symbols and less, the threshold is higher by the rest."""
@@ -228,15 +230,16 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), sharde
     threshold, kept; with "text" in keep the text, too.
 
     A null, empty or blank text has no symbols, null perplexity and is not kept. A
-    null lang is a language of its own; a language with few trusted documents goes by
-    the threshold of all languages, and with no trusted text at all nothing is rejected.
+    null lang is a language of its own; a language with few trusted documents held out goes by
+    the threshold of all languages, and if none is held out nothing is rejected.
     Rows that repeat are each scored. Null ids are not labelled; labels that repeat
     count as good if one of them is. Columns named as the new ones are not carried along."""
-    good = trusted(docs, labels).select("lang", "text")
-    model = KneserNey(run_counts(good))
+    held_out = F.pmod(F.xxhash64(F.lit("held out"), "text"), F.lit(HELD_OUT)) == 0  # copies are all held out or none
+    good = trusted(docs, labels).select("lang", "text", held_out.alias("held_out"))
+    model = KneserNey(run_counts(good.where("NOT held_out")))
     tables = None if sharded else model.tables()
     rate = F.try_divide("bits", "n_symbols")
-    rates = saved(_scored(good, model, tables).where("n_symbols > 0").select("lang", rate.alias("rate")), "kn-rates")
+    rates = saved(_scored(good.where("held_out").select("lang", "text"), model, tables).where("n_symbols > 0").select("lang", rate.alias("rate")), "kn-rates")
     stats = [F.percentile_approx("rate", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("n")]
     everything = rates.agg(*stats).head()
     fence = lambda low, high: high + FENCE * F.greatest(high - low, F.lit(LEAST_SPREAD))

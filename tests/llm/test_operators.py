@@ -235,7 +235,9 @@ def test_embedding_dedup(spark, vector_rows):
         component = None if row[0] is None else min(vector_rows[j][0] for j in seen)
         n[row[0], len(links[i]), component, row[0] is None or component == row[0]] += 1
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == n
-    assert all(r.recall >= 0.9 for r in got)
+    assert all(r.recall is None or r.recall >= 0.9 for r in got) and any(r.recall is not None for r in got)
+    wide = spark.createDataFrame([(1, [1e300, 1.0]), (2, [1e300, 2.0]), (3, [0.0, 1e-300])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(wide).collect()} == {1: 1, 2: 1, 3: 3}
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VEC)).collect() == []
 
 
@@ -413,3 +415,84 @@ def test_quality(spark):
         assert a.perplexity == (None if b.perplexity is None else pytest.approx(b.perplexity, rel=1e-4))
     assert all(r.kept == (r.n_symbols > 0) for r in quality.score(docs, labels.where("false")).collect())
     assert quality.score(docs.where("false"), labels).collect() == []
+
+
+def test_kneser_ney_against_the_formulas(spark):
+    """Probabilities by the published formulas, from plain counts, in Python."""
+    rnd = random.Random(12)
+    texts = [prose("xyz"[i % 3], rnd, rnd.randint(1, 25)) for i in range(25)]
+    model = quality.KneserNey(quality.run_counts(spark.createDataFrame([(t,) for t in texts], "text string")))
+    start = quality.START
+    counts = {4: Counter()}
+    for t in texts:
+        own = Counter()
+        s = [start] * 3 + list(quality.symbols(t))
+        for i in range(3, len(s)):
+            own[tuple(s[i - 3 : i + 1])] += 1
+        counts[4].update({g: 1 if quality.REPEAT_BYTE[0] in g else n for g, n in own.items()})
+    for k in (3, 2, 1):  # how many different symbols stand before
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = {}
+    for k, table in counts.items():
+        n = Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        d = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 for i in (1, 2, 3)]
+        discounts[k] = [min(max(x, 0.1), i + 0.9) if x else 0.5 for i, x in enumerate(d)]
+
+    def p(gram):
+        if not gram:
+            return 1.0 / quality.SYMBOLS
+        k, context = len(gram), gram[:-1]
+        after = {g: n for g, n in counts[k].items() if g[:-1] == context}
+        if not after:
+            return p(gram[1:])
+        cut = lambda n: discounts[k][min(n, 3) - 1]
+        total = sum(after.values())
+        own = (after[gram] - cut(after[gram])) / total if gram in after else 0.0
+        return own + sum(map(cut, after.values())) / total * p(gram[1:])
+
+    tables = model.tables()
+    for text in (texts[0], texts[7][:20], "the sch ñ zz", "erer erer"):
+        s = [start] * 3 + list(quality.symbols(text))
+        expected = sum(-np.log2(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s)))
+        assert quality.sums(tables, [quality.symbols(text)])[0] == pytest.approx(expected, rel=1e-4)
+
+
+def test_many_languages_and_long_rows(spark):
+    rnd = random.Random(13)
+    rows = [(i, f"{prose('xyz'[i % 3], rnd, 12)} k{i % 450}q", f"l{i % 450}") for i in range(1800)] + [(5001 + i, prose("z", rnd, 9000), "long") for i in range(6)]
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and "long" in {r.lang_pred for r in got if r.doc_id > 5000}
+
+
+def test_token_counts_of_the_real_vocabulary():
+    import base64
+
+    with open(f"{token_counts.DIRECTORY}/{token_counts.VOCABULARY}", "rb") as f:
+        pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+    counts, longest, rnd = token_counts.automaton(), max(map(len, pieces)), random.Random(3)
+    for w in ["hello", "naïve", "😀x", "ﬀﬁ", "antidisestablishmentarianism", "ö" * 40] + ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéß.,-0123") for _ in range(rnd.randint(1, 30))) for _ in range(400)]:
+        word, at, n = b" " + w.encode(), 0, 0
+        while at < len(word):
+            at = next(e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces and (at == 0 or word[at:at + 1] != b" "))
+            n += 1
+        assert counts[word] == n, w
+
+
+def test_unigram_models_by_their_costs():
+    """A small model of kind unigram, written by hand, gives the library's pieces."""
+    library = pytest.importorskip("sentencepiece")
+
+    def field(number, kind, payload):
+        return bytes([number << 3 | kind]) + payload
+
+    def text(number, raw):
+        return field(number, 2, bytes([len(raw)]) + raw)
+
+    pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.5, 1), ("b", -2.5, 1), ("ab", -3.1, 1), ("▁a", -2.9, 1), ("ba", -4.0, 1), ("bab", -5.0, 1), ("▁ab", -6.2, 1)]
+    blob = b"".join(text(1, text(1, p.encode()) + field(2, 5, np.float32(score).tobytes()) + field(3, 0, bytes([kind]))) for p, score, kind in pieces)
+    blob += text(2, field(3, 0, bytes([1]))) + text(3, field(3, 0, bytes([1])) + field(4, 0, bytes([0])) + text(1, b"identity"))
+    m, processor = sentencepiece_fst.Model(blob), library.SentencePieceProcessor(model_proto=blob)
+    rnd = random.Random(2)
+    for t in ["ab", "abab", "ba b", "aacb", "abc abab" * 5] + ["".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 40))) for _ in range(100)]:
+        assert m.encode(t).tolist() == processor.encode(t), t
