@@ -57,7 +57,14 @@ def chains(aliases: DataFrame, hops: int = 8) -> DataFrame:
     return at.select("old", F.when(F.col("hops") <= hops, F.col("final")).otherwise(F.raise_error(F.lit("alias chain too long or a circle"))).alias("final"), "hops")
 
 
-def postings(items: DataFrame, key: str, words: Column) -> DataFrame:
-    """Each word's items with the best tier of the word there: by its first place, 0 to 2."""
+MOST_WORDS = 100_000
+"""Up to so many words asked for are sent to every task, so that other words of the items are never shuffled."""
+
+
+def postings(items: DataFrame, key: str, words: Column, only: DataFrame | None = None) -> DataFrame:
+    """Each word's items with the best tier of the word there: by its first place, 0 to 2. `only`(word): just these words."""
     each = items.select(key, F.posexplode(words).alias("at", "word"))
+    if only is not None:
+        wanted = only.select("word").distinct()
+        each = each.join(F.broadcast(wanted) if wanted.count() <= MOST_WORDS else wanted, "word", "left_semi")
     return each.groupBy("word", key).agg(F.min("at").alias("at")).select("word", key, (2 - F.least(F.col("at"), F.lit(2))).cast("int").alias("tier"))

@@ -189,8 +189,8 @@ w AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM t),
 postings AS (SELECT word, doc_id, (2 - least(min(pos), 2))::INT AS tier FROM w GROUP BY word, doc_id)"""
 
 
-def doc_postings(spark: SparkSession, d: str) -> DataFrame:
-    return state.postings(read(spark, d, "documents"), "doc_id", tx.tokens(F.col("text")))
+def doc_postings(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    return state.postings(read(spark, d, "documents"), "doc_id", tx.tokens(F.col("text")), only)
 
 
 @query(f"WITH {POSTINGS} SELECT word, count(*)::BIGINT AS n, min(doc_id) AS first_doc, sum(tier)::BIGINT AS tiers FROM postings GROUP BY word")
@@ -213,7 +213,8 @@ LEXICAL = f"""{POSTINGS}, {QWORDS}, credit AS (SELECT q.qid, p.doc_id AS item, m
 
 @query(f"WITH {LEXICAL} SELECT qid, item, credit FROM credit")
 def lexical_credit(spark, d):
-    return scoring.lexical_credit(query_words(spark, d), doc_postings(spark, d).withColumnRenamed("doc_id", "item"))
+    asked = query_words(spark, d)
+    return scoring.lexical_credit(asked, doc_postings(spark, d, asked).withColumnRenamed("doc_id", "item"))
 
 
 NEIGHBOURS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -631,7 +632,8 @@ def search_batch(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    credit = scoring.lexical_credit(query_words(spark, d), doc_postings(spark, d).withColumnRenamed("doc_id", "item")).withColumnRenamed("item", "doc_id")
+    asked = query_words(spark, d)
+    credit = scoring.lexical_credit(asked, doc_postings(spark, d, asked).withColumnRenamed("doc_id", "item")).withColumnRenamed("item", "doc_id")
     labels = read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, 0.06).when(F.col("quality") == 0, -0.06).otherwise(0.0).alias("good"))
     rows = credit.join(labels, "doc_id", "left").withColumn("score", r6(scoring.WEIGHTS["lexical"] * F.col("credit") + F.coalesce("good", F.lit(0.0))))
     return ranking.page(rows, "doc_id", ("qid",), 0, 5).select("qid", "doc_id", "score", "rank")
