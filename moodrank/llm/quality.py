@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import START, SYMBOLS, ContextTables, sums
-from .common import encoded, saved
+from .common import encoded, give_back, saved
 
 ORDER = 4
 REPEAT_BYTE = b"\xff"
 """Stands for REPEAT: no UTF-8 text holds this byte."""
+SLICE_SYMBOLS = 2_000_000
+"""Symbols that a task counts at once, about."""
 MOST_CONTEXTS = 250_000
 MOST_LABELS = 2_000_000
 FENCE = 3.0
@@ -79,7 +81,7 @@ def run_counts(docs: DataFrame) -> DataFrame:
             texts = [symbols(t) for t in pdf["text"] if t]
             while texts:
                 size, k = 0, 0
-                while k < len(texts) and size < 4_000_000:
+                while k < len(texts) and size < SLICE_SYMBOLS:
                     size += len(texts[k])
                     k += 1
                 found, n = np.unique(_codes(texts[:k], once=True), return_counts=True)
@@ -88,6 +90,8 @@ def run_counts(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
         for at in range(0, len(codes), 100_000):
             yield pd.DataFrame({"code": codes[at : at + 100_000], "n": counts[at : at + 100_000]})
+        del codes, counts
+        give_back()
 
     return docs.select("text").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -218,6 +222,7 @@ def _scored(docs: DataFrame, model: KneserNey, tables: ContextTables | None) ->
             for pdf in batches:
                 texts = [symbols(t or "") for t in pdf["text"]]
                 yield pdf.assign(n_symbols=[len(t) for t in texts], bits=sums(shared.value, texts))
+            give_back()
 
         return docs.mapInPandas(run, schema)
     rows = saved(docs.withColumn("row", F.uuid()), "kn-docs")
