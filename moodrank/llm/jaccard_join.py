@@ -47,6 +47,8 @@ TURNS, SEEDS = 4, 10
 LEAST_LINKED = 0.05
 """A round that links a smaller share of what it compares is the last one before the complete one: later ones
 would mostly meet the same pairs again, which the complete round looks at anyway."""
+KEPT_BYTES = 16_000_000
+"""Bytes of sets that a task verifying pairs keeps for the next ones; a larger set is kept alone."""
 BLOCK = 256
 """Entries of a list that are skipped or compared at once."""
 
@@ -237,6 +239,8 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     many = np.repeat(lengths > 1, lengths)
     used, owner = np.unique(owner[many], return_inverse=True)
     parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]))
+    del run, place, order, new, first, back, size
+    give_back()
     return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<5I", *map(len, parts)) + b"".join(parts)]})
 
 
@@ -342,15 +346,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, kept = WordHashes(), {}
+        words, kept, held = WordHashes(), {}, 0
 
         def of(sig: int, text: bytes) -> np.ndarray:
+            nonlocal held
             runs = kept.get(sig)
             if runs is None:
                 runs = runs_of(opened(text), words, width)
-                if len(kept) >= 2000:
-                    kept.pop(next(iter(kept)))
+                while kept and held + runs.nbytes > KEPT_BYTES:
+                    held -= kept.pop(next(iter(kept))).nbytes
                 kept[sig] = runs
+                held += runs.nbytes
             return runs
 
         for pdf in batches:
@@ -359,6 +365,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 x, y = of(a, ta), of(b, tb)
                 linked.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x), len(y), percent))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": linked})
+        words.clear()
+        kept.clear()
+        give_back()
 
     return both.mapInPandas(run, "a long, b long, linked boolean")
 
