@@ -190,6 +190,7 @@ def _reference_block(pdf: pd.DataFrame) -> pd.DataFrame:
                     sort = np.lexsort((place[at], row[at]))
                     refs, which = np.unique(owner[w][sort], return_inverse=True)
                     out.append((int(g), ANSWER, _blob(packed_rows(row[at][sort]), plane_packed(place[at][sort]), packed(_ascending(refs)), plane_packed(which), plane_packed(there[w][sort]))))
+    give_back()
     return pd.DataFrame(out, columns=["group", "kind", "blob"])
 
 
@@ -231,6 +232,8 @@ def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
         for lo, hi in zip(cuts, [*cuts[1:], len(first)]):
             r = row[first[lo]]
             out.append((ids[r], keys[r], _blob(*(plane_packed(x) for x in table[:2, lo:hi]), table[2, lo:hi].tobytes(), plane_packed(table[3, lo:hi]))))
+    del at, doc, place
+    give_back()
     return pd.DataFrame(out, columns=["doc_id", "key", "factors"]).astype({"doc_id": "int64", "key": "int64"})
 
 
