@@ -11,6 +11,10 @@ ones for most lists of a group of copies, others in each round. Sets linked so a
 of one is reachable from all: the last round enumerates lists completely, but pairs inside a component are
 derived, not computed. What is left crosses components and is verified on the whole sets, every pair.
 
+A set carries a parity bitmap of all its runs. Each run that only one of two sets holds flips one bit, so the bits
+in which two bitmaps differ are at most the runs not shared: where they are more than a link allows, the pair
+cannot link and is not listed. Sets that share only a frequent passage end there, before they are rows.
+
 Equal sets are one node. Lists travel as blobs by hash range; texts of sets to compare are stored once a round.
 """
 
@@ -47,6 +51,8 @@ TURNS, SEEDS = 4, 10
 LEAST_LINKED = 0.05
 """A round that links a smaller share of what it compares is the last one before the complete one: later ones
 would mostly meet the same pairs again, which the complete round looks at anyway."""
+BITS = 256
+"""Bits of a set's parity bitmap."""
 KEPT_BYTES = 16_000_000
 """Bytes of sets that a task verifying pairs keeps for the next ones; a larger set is kept alone."""
 BLOCK = 256
@@ -74,6 +80,11 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bitmap(runs: np.ndarray) -> bytes:
+    """For each value of the runs' lowest bits, whether an odd number of runs has it."""
+    return np.packbits(np.bincount((runs & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def prefix_length(n, percent: int):
     """Runs of a set that can hold the first one shared with a similar set of any size."""
     return n - -(-percent * n // 100) + 1
@@ -161,7 +172,7 @@ def _index(shared, buckets: int, width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, words = shared.value, WordHashes()
-        sets: dict[int, tuple[int, np.ndarray]] = {}
+        sets: dict[int, tuple[int, np.ndarray, bytes]] = {}
         held = 0
 
         def frame(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -172,6 +183,7 @@ def _index(shared, buckets: int, width: int, percent: int):
             sizes = np.array([s[0] for s in sets.values()], np.int64)
             lengths = np.array([len(s[1]) for s in sets.values()], np.int64)
             run_ = np.concatenate([s[1] for s in sets.values()])
+            bits = np.frombuffer(b"".join(s[2] for s in sets.values()), np.uint8).reshape(len(sets), BITS // 8)
             owner = np.repeat(np.arange(len(sets)), lengths)
             place = np.arange(len(run_)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             order = np.argsort(run_)
@@ -183,8 +195,8 @@ def _index(shared, buckets: int, width: int, percent: int):
                 lo, hi = edges[b], edges[b + 1]
                 if lo < hi:
                     used, own = np.unique(owner[lo:hi], return_inverse=True)
-                    parts = (sigs[used].tobytes(), plane_packed(sizes[used]), packed(run_[lo:hi]), plane_packed(own), plane_packed(place[lo:hi]))
-                    out.append((b, struct.pack("<5I", *map(len, parts)) + b"".join(parts)))
+                    parts = (sigs[used].tobytes(), plane_packed(sizes[used]), packed(run_[lo:hi]), plane_packed(own), plane_packed(place[lo:hi]), bits[used].tobytes())
+                    out.append((b, struct.pack("<6I", *map(len, parts)) + b"".join(parts)))
                 if len(out) == 64:
                     yield frame(out)
                     out = []
@@ -200,7 +212,7 @@ def _index(shared, buckets: int, width: int, percent: int):
                     sig = signature(runs)
                     if sig not in sets:
                         own = in_order(runs, classes)[: prefix_length(len(runs), percent)]
-                        sets[sig] = (len(runs), own.copy())
+                        sets[sig] = (len(runs), own.copy(), bitmap(runs))
                         held += len(own)
                     if held > 1_000_000 or len(sets) > GROUP_SETS:
                         yield from flushed()
@@ -216,19 +228,23 @@ def _index(shared, buckets: int, width: int, percent: int):
 
 def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     """All slices of a bucket -> one row with its lists of two sets and more, and the sets in them."""
-    sigs, sizes, runs, owners, places, n = [], [], [], [], [], 0
+    sigs, sizes, runs, owners, places, maps, n = [], [], [], [], [], [], 0
     for blob in pdf["blob"]:
-        cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
+        cuts = np.cumsum([24, *struct.unpack_from("<6I", blob)])
         own = np.frombuffer(blob, np.int64, (cuts[1] - cuts[0]) // 8, cuts[0])
         sigs.append(own)
         sizes.append(plane_unpacked(blob[cuts[1] : cuts[2]]))
         runs.append(unpacked(blob[cuts[2] : cuts[3]]))
         owners.append(plane_unpacked(blob[cuts[3] : cuts[4]]).astype(np.int64) + n)
         places.append(plane_unpacked(blob[cuts[4] : cuts[5]]))
+        maps.append(np.frombuffer(blob, np.uint64, len(own) * BITS // 64, cuts[5]).reshape(len(own), BITS // 64))
         n += len(own)
     sig, back = np.unique(np.concatenate(sigs), return_inverse=True)  # a set sent by several groups is one
     size = np.zeros(len(sig), np.uint32)
     size[back] = np.concatenate(sizes)
+    bits = np.empty((len(sig), BITS // 64), np.uint64)
+    bits[back] = np.concatenate(maps)
+    del maps
     run, owner, place = np.concatenate(runs), back[np.concatenate(owners)], np.concatenate(places)
     order = np.lexsort((owner, run))
     run, owner, place = run[order], owner[order], place[order]
@@ -238,20 +254,24 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     lengths = np.diff(np.concatenate([np.flatnonzero(first), [len(run)]]))
     many = np.repeat(lengths > 1, lengths)
     used, owner = np.unique(owner[many], return_inverse=True)
-    parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]))
-    del run, place, order, new, first, back, size
+    parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]), bits[used].tobytes())
+    del bits, run, place, order, new, first, back, size
     give_back()
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<5I", *map(len, parts)) + b"".join(parts)]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<6I", *map(len, parts)) + b"".join(parts)]})
 
 
 class Lists:
+    bits: np.ndarray | None = None
+    """Bitmaps of the sets; without them pairs go by sizes and places alone."""
+
     def __init__(self, blob: bytes, percent: int):
-        cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
+        cuts = np.cumsum([24, *struct.unpack_from("<6I", blob)])
         self.sig = np.frombuffer(blob, np.int64, (cuts[1] - cuts[0]) // 8, cuts[0])
         self.size = plane_unpacked(blob[cuts[1] : cuts[2]]).astype(np.int64)
         self.owner = plane_unpacked(blob[cuts[2] : cuts[3]]).astype(np.int64)
         self.place = plane_unpacked(blob[cuts[3] : cuts[4]]).astype(np.int64)
         self.length = plane_unpacked(blob[cuts[4] : cuts[5]]).astype(np.int64)
+        self.bits = np.frombuffer(blob, np.uint64, len(self.sig) * BITS // 64, cuts[5]).reshape(len(self.sig), BITS // 64)
         self.percent = percent
 
     def can(self, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -259,7 +279,15 @@ class Lists:
         n, m = self.size[a], self.size[b]
         behind = np.minimum(n - i, m - j)
         indexed = np.where(n <= m, i, j) < index_length(np.minimum(n, m), self.percent)
-        return indexed & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (behind >= least_overlap(n, m, self.percent))
+        ok = indexed & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (behind >= least_overlap(n, m, self.percent))
+        if self.bits is None:
+            return ok
+        most = n + m - 2 * least_overlap(n, m, self.percent)  # runs that only one of them may hold
+        at = np.flatnonzero(ok)
+        for lo in range(0, len(at), 200_000):
+            part = at[lo : lo + 200_000]
+            ok[part] = np.bitwise_count(self.bits[a[part]] ^ self.bits[b[part]]).sum(axis=1) <= most[part]
+        return ok
 
     def unique(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         a = np.concatenate([np.minimum(x, y) for x, y in found] or [np.empty(0, np.int64)])

@@ -147,6 +147,16 @@ def test_jaccard_join_is_whole_after_many_or_few_rounds(docs, doc_rows, monkeypa
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_expected(doc_rows)
 
 
+def test_jaccard_bitmaps_never_differ_in_more_bits_than_sets_in_runs():
+    rnd = random.Random(5)
+    for _ in range(400):
+        n, shared = rnd.choice([1, 3, 40, 200, 900]), rnd.random()
+        x = {rnd.getrandbits(64) for _ in range(n)}
+        y = {h for h in x if rnd.random() < shared} | {rnd.getrandbits(64) for _ in range(rnd.choice([0, 1, n]))}
+        a, b = (np.frombuffer(jaccard_join.bitmap(np.array(sorted(s), np.uint64)), np.uint64) for s in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
+
+
 def test_jaccard_lists_find_every_pair():
     """Prefixes, positions and blocks lose no pair, for many sizes and list lengths."""
     rnd = random.Random(3)
