@@ -11,9 +11,10 @@ ones for most lists of a group of copies, others in each round. Sets linked so a
 of one is reachable from all: the last round enumerates lists completely, but pairs inside a component are
 derived, not computed. What is left crosses components and is verified on the whole sets, every pair.
 
-A set carries a parity bitmap of all its runs. Each run that only one of two sets holds flips one bit, so the bits
-in which two bitmaps differ are at most the runs not shared: where they are more than a link allows, the pair
-cannot link and is not listed. Sets that share only a frequent passage end there, before they are rows.
+A listed set carries a parity bitmap of all its runs, of some bits for each. Each run that only one of two sets
+holds flips one bit, so the bits in which two bitmaps differ are at most the runs not shared: where they are more
+than a link allows, the pair cannot link and is not listed. Sets that share only a passage, and most of those just
+below the threshold, end there, before they are rows. Bitmaps of unlike sizes meet folded to the smaller one.
 
 Equal sets are one node. Lists travel as blobs by hash range; texts of sets to compare are stored once a round.
 """
@@ -51,8 +52,11 @@ TURNS, SEEDS = 4, 10
 LEAST_LINKED = 0.05
 """A round that links a smaller share of what it compares is the last one before the complete one: later ones
 would mostly meet the same pairs again, which the complete round looks at anyway."""
-BITS = 256
-"""Bits of a set's parity bitmap."""
+LEAST_BITS, BITS_A_RUN = 256, 4
+"""Bits of a set's parity bitmap: the power of two at or above so many for each run, so that a bitmap tells long
+sets apart as well as short ones."""
+BITMAP_WORDS = 500_000
+"""Words of bitmaps compared at once."""
 KEPT_BYTES = 16_000_000
 """Bytes of sets that a task verifying pairs keeps for the next ones; a larger set is kept alone."""
 BLOCK = 256
@@ -80,9 +84,15 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bitmap_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmaps of sets with n runs."""
+    return 1 << np.ceil(np.log2(np.maximum(BITS_A_RUN * n, LEAST_BITS) / 64)).astype(np.int64)
+
+
 def bitmap(runs: np.ndarray) -> bytes:
     """For each value of the runs' lowest bits, whether an odd number of runs has it."""
-    return np.packbits(np.bincount((runs & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    bits = 64 * int(bitmap_words(np.array(len(runs))))
+    return np.packbits(np.bincount((runs & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def prefix_length(n, percent: int):
@@ -96,9 +106,9 @@ def index_length(n, percent: int):
 
 
 def _sketch(width: int):
-    """Rows (doc_id, key, n, sig) of every document, and (chunk, part, blob) of the partition's counters."""
+    """Rows (doc_id, key, n, sig, bits) of every document, and (chunk, part, blob) of the partition's counters."""
 
-    types = {"doc_id": pa.int64(), "key": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "chunk": pa.int32(), "part": pa.int32(), "blob": pa.binary()}
+    types = {"doc_id": pa.int64(), "key": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "bits": pa.binary(), "chunk": pa.int32(), "part": pa.int32(), "blob": pa.binary()}
 
     def frame(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x := columns.get(c), pa.Array) else pa.array([x] * rows if not isinstance(x, list) else x, t) for c, t in types.items()], names=list(types))
@@ -115,11 +125,12 @@ def _sketch(width: int):
 
         for batch in batches:
             for part in slices(batch):
-                n, sigs, sets, size = [], [], [], 0
+                n, sigs, bits, sets, size = [], [], [], [], 0
                 for text in part.column("text").to_pylist():
                     runs = runs_of(text, words, width) if text is not None else np.empty(0, np.uint64)
                     n.append(len(runs))
                     sigs.append(signature(runs) if len(runs) else None)
+                    bits.append(bitmap(runs) if len(runs) else None)
                     if len(runs) and sigs[-1] not in seen:
                         if len(seen) > 200_000:
                             seen.clear()
@@ -131,7 +142,7 @@ def _sketch(width: int):
                         sets, size = [], 0
                 if sets:
                     count(sets)
-                yield frame(len(n), doc_id=part.column("doc_id"), key=part.column("key"), n=n, sig=sigs, chunk=-1, part=0)
+                yield frame(len(n), doc_id=part.column("doc_id"), key=part.column("key"), n=n, sig=sigs, bits=bits, chunk=-1, part=0)
         words.clear()
         part_id = TaskContext.get().partitionId()
         for chunk, at in enumerate(range(0, len(counters), COUNTER_CHUNK)):
@@ -172,7 +183,7 @@ def _index(shared, buckets: int, width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, words = shared.value, WordHashes()
-        sets: dict[int, tuple[int, np.ndarray, bytes]] = {}
+        sets: dict[int, tuple[int, np.ndarray]] = {}
         held = 0
 
         def frame(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -183,7 +194,6 @@ def _index(shared, buckets: int, width: int, percent: int):
             sizes = np.array([s[0] for s in sets.values()], np.int64)
             lengths = np.array([len(s[1]) for s in sets.values()], np.int64)
             run_ = np.concatenate([s[1] for s in sets.values()])
-            bits = np.frombuffer(b"".join(s[2] for s in sets.values()), np.uint8).reshape(len(sets), BITS // 8)
             owner = np.repeat(np.arange(len(sets)), lengths)
             place = np.arange(len(run_)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             order = np.argsort(run_)
@@ -195,8 +205,8 @@ def _index(shared, buckets: int, width: int, percent: int):
                 lo, hi = edges[b], edges[b + 1]
                 if lo < hi:
                     used, own = np.unique(owner[lo:hi], return_inverse=True)
-                    parts = (sigs[used].tobytes(), plane_packed(sizes[used]), packed(run_[lo:hi]), plane_packed(own), plane_packed(place[lo:hi]), bits[used].tobytes())
-                    out.append((b, struct.pack("<6I", *map(len, parts)) + b"".join(parts)))
+                    parts = (sigs[used].tobytes(), plane_packed(sizes[used]), packed(run_[lo:hi]), plane_packed(own), plane_packed(place[lo:hi]))
+                    out.append((b, struct.pack("<5I", *map(len, parts)) + b"".join(parts)))
                 if len(out) == 64:
                     yield frame(out)
                     out = []
@@ -212,7 +222,7 @@ def _index(shared, buckets: int, width: int, percent: int):
                     sig = signature(runs)
                     if sig not in sets:
                         own = in_order(runs, classes)[: prefix_length(len(runs), percent)]
-                        sets[sig] = (len(runs), own.copy(), bitmap(runs))
+                        sets[sig] = (len(runs), own.copy())
                         held += len(own)
                     if held > 1_000_000 or len(sets) > GROUP_SETS:
                         yield from flushed()
@@ -228,23 +238,19 @@ def _index(shared, buckets: int, width: int, percent: int):
 
 def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     """All slices of a bucket -> one row with its lists of two sets and more, and the sets in them."""
-    sigs, sizes, runs, owners, places, maps, n = [], [], [], [], [], [], 0
+    sigs, sizes, runs, owners, places, n = [], [], [], [], [], 0
     for blob in pdf["blob"]:
-        cuts = np.cumsum([24, *struct.unpack_from("<6I", blob)])
+        cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
         own = np.frombuffer(blob, np.int64, (cuts[1] - cuts[0]) // 8, cuts[0])
         sigs.append(own)
         sizes.append(plane_unpacked(blob[cuts[1] : cuts[2]]))
         runs.append(unpacked(blob[cuts[2] : cuts[3]]))
         owners.append(plane_unpacked(blob[cuts[3] : cuts[4]]).astype(np.int64) + n)
         places.append(plane_unpacked(blob[cuts[4] : cuts[5]]))
-        maps.append(np.frombuffer(blob, np.uint64, len(own) * BITS // 64, cuts[5]).reshape(len(own), BITS // 64))
         n += len(own)
     sig, back = np.unique(np.concatenate(sigs), return_inverse=True)  # a set sent by several groups is one
     size = np.zeros(len(sig), np.uint32)
     size[back] = np.concatenate(sizes)
-    bits = np.empty((len(sig), BITS // 64), np.uint64)
-    bits[back] = np.concatenate(maps)
-    del maps
     run, owner, place = np.concatenate(runs), back[np.concatenate(owners)], np.concatenate(places)
     order = np.lexsort((owner, run))
     run, owner, place = run[order], owner[order], place[order]
@@ -254,39 +260,70 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     lengths = np.diff(np.concatenate([np.flatnonzero(first), [len(run)]]))
     many = np.repeat(lengths > 1, lengths)
     used, owner = np.unique(owner[many], return_inverse=True)
-    parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]), bits[used].tobytes())
-    del bits, run, place, order, new, first, back, size
+    parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]))
+    del run, place, order, new, first, back, size
     give_back()
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<6I", *map(len, parts)) + b"".join(parts)]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<5I", *map(len, parts)) + b"".join(parts)]})
+
+
+def _fitted(pdf: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's lists and its sets' bitmaps (sig, bits) -> the lists with the bitmaps in the sets' order."""
+    of = dict(zip(maps["sig"], maps["bits"]))
+    rows = [(bucket, blob, b"".join(of[s] for s in np.frombuffer(blob, np.int64, struct.unpack_from("<I", blob)[0] // 8, 20).tolist())) for bucket, blob in zip(pdf["bucket"], pdf["blob"])]
+    return pd.DataFrame(rows, columns=["bucket", "blob", "maps"])
 
 
 class Lists:
-    bits: np.ndarray | None = None
-    """Bitmaps of the sets; without them pairs go by sizes and places alone."""
+    maps: np.ndarray | None = None
+    """Bitmaps of the sets, one behind the other; without them pairs go by sizes and places alone."""
 
-    def __init__(self, blob: bytes, percent: int):
-        cuts = np.cumsum([24, *struct.unpack_from("<6I", blob)])
+    def __init__(self, blob: bytes, maps: bytes, percent: int):
+        cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
         self.sig = np.frombuffer(blob, np.int64, (cuts[1] - cuts[0]) // 8, cuts[0])
         self.size = plane_unpacked(blob[cuts[1] : cuts[2]]).astype(np.int64)
         self.owner = plane_unpacked(blob[cuts[2] : cuts[3]]).astype(np.int64)
         self.place = plane_unpacked(blob[cuts[3] : cuts[4]]).astype(np.int64)
         self.length = plane_unpacked(blob[cuts[4] : cuts[5]]).astype(np.int64)
-        self.bits = np.frombuffer(blob, np.uint64, len(self.sig) * BITS // 64, cuts[5]).reshape(len(self.sig), BITS // 64)
         self.percent = percent
+        self.fit(maps)
+
+    def fit(self, maps: bytes) -> None:
+        self.maps = np.frombuffer(maps, np.uint64)
+        self.words = bitmap_words(self.size)
+        self.start = np.cumsum(self.words) - self.words
 
     def can(self, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether sets a and b can link when the run at places i and j is the first they share."""
         n, m = self.size[a], self.size[b]
         behind = np.minimum(n - i, m - j)
         indexed = np.where(n <= m, i, j) < index_length(np.minimum(n, m), self.percent)
-        ok = indexed & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (behind >= least_overlap(n, m, self.percent))
-        if self.bits is None:
+        return indexed & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (behind >= least_overlap(n, m, self.percent))
+
+    def _maps(self, sets: np.ndarray, words: int) -> np.ndarray:
+        """Bitmaps of sets, each folded to so many words: a bit of the half tells whether one of its two was set."""
+        out = np.empty((len(sets), words), np.uint64)
+        for w in np.unique(self.words[sets]):
+            at = np.flatnonzero(self.words[sets] == w)
+            own = self.maps[self.start[sets[at], None] + np.arange(w)]
+            while own.shape[1] > words:
+                own = own[:, : own.shape[1] // 2] ^ own[:, own.shape[1] // 2 :]
+            out[at] = own
+        return out
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether bitmaps of sets a and b differ in no more bits than linked sets of their sizes."""
+        ok = np.ones(len(a), bool)
+        if self.maps is None:
             return ok
+        n, m = self.size[a], self.size[b]
         most = n + m - 2 * least_overlap(n, m, self.percent)  # runs that only one of them may hold
-        at = np.flatnonzero(ok)
-        for lo in range(0, len(at), 200_000):
-            part = at[lo : lo + 200_000]
-            ok[part] = np.bitwise_count(self.bits[a[part]] ^ self.bits[b[part]]).sum(axis=1) <= most[part]
+        words = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(words):
+            at = np.flatnonzero(words == w)
+            step = max(1, BITMAP_WORDS // int(w))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                ok[part] = np.bitwise_count(self._maps(a[part], w) ^ self._maps(b[part], w)).sum(axis=1, dtype=np.int64) <= most[part]
         return ok
 
     def unique(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,6 +332,11 @@ class Lists:
         pairs = np.unique(a * len(self.sig) + b)
         return pairs // max(1, len(self.sig)), pairs % max(1, len(self.sig))
 
+    def sifted(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.unique(found)
+        ok = self.alike(a, b)
+        return a[ok], b[ok]
+
     def stars(self, label: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """Every set of a list with the one of least hash in it; after the first turn with SEEDS more
         of them in each turn, and of any two labels only so many pairs, SEEDS times as many in each turn."""
@@ -309,7 +351,7 @@ class Lists:
             s = seed[which]
             ok = (label[self.owner[s]] != label[self.owner]) & self.can(self.owner[s], self.place[s], self.owner, self.place)
             found.append((self.owner[s[ok]], self.owner[ok]))
-        a, b = self.unique(found)
+        a, b = self.sifted(found)
         if turn and len(a):
             low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
             order = np.lexsort((mixed(self.sig[a].view(np.uint64) ^ self.sig[b].view(np.uint64)), high, low))
@@ -321,16 +363,17 @@ class Lists:
 
     def across(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every pair of a list with different labels that can link."""
-        found, held = [], 0
+        kept, found, held = [], [], 0
         starts = np.cumsum(self.length) - self.length
         for n in np.unique(self.length):
             of = starts[self.length == n]
             if n > 24:
                 for at in of:
-                    found += self._blocks(label, at, n)
-                    held += sum(len(x[0]) for x in found[-4:])
-                    if held > 3_000_000:
-                        found, held = [self.unique(found)], 0
+                    for pair in self._blocks(label, at, n):
+                        found.append(pair)
+                        held += len(pair[0])
+                        if held > 3_000_000:
+                            kept, found, held = [self.unique([*kept, self.sifted(found)])], [], 0
                 continue
             i, j = np.triu_indices(n, 1)
             for lo in range(0, len(of), max(1, 2_000_000 // len(i))):
@@ -341,15 +384,16 @@ class Lists:
                 x, y, a, b = x[ok], y[ok], a[ok], b[ok]
                 ok = self.can(a, self.place[x], b, self.place[y])
                 found.append((a[ok], b[ok]))
-            found = [self.unique(found)]
-        return self.unique(found)
+                held += len(found[-1][0])
+                if held > 3_000_000:
+                    kept, found, held = [self.unique([*kept, self.sifted(found)])], [], 0
+        return self.unique([*kept, self.sifted(found)])
 
-    def _blocks(self, label: np.ndarray, at: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _blocks(self, label: np.ndarray, at: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own = np.arange(at, at + n)
         own = own[np.argsort(self.place[own], kind="stable")]
         blocks = [own[k : k + BLOCK] for k in range(0, n, BLOCK)]
         least = [(self.place[b].min(), self.size[self.owner[b]].min(), self.size[self.owner[b]].max(), np.unique(label[self.owner[b]])) for b in blocks]
-        found = []
         for p, x in enumerate(blocks):
             for q in range(p, len(blocks)):
                 (i, small, big, mine), (j, low, high, others) = least[p], least[q]
@@ -363,8 +407,7 @@ class Lists:
                 a, b = a[ok], b[ok]
                 ok = self.can(self.owner[a], self.place[a], self.owner[b], self.place[b])
                 if ok.any():
-                    found.append((self.owner[a[ok]], self.owner[b[ok]]))
-        return found
+                    yield self.owner[a[ok]], self.owner[b[ok]]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -411,15 +454,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     one; it is null for what is alone by rule. Sets go by 64-bit hashes of their runs' hashes; other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     buckets = power_of_two(text_size(docs) / LIST_BYTES)
-    sketch = saved(rows.mapInArrow(_sketch(width), "doc_id long, key long, n long, sig long, chunk int, part int, blob binary"), "jaccard-sketch")
+    sketch = saved(rows.mapInArrow(_sketch(width), "doc_id long, key long, n long, sig long, bits binary, chunk int, part int, blob binary"), "jaccard-sketch")
     sets = sketch.where("chunk < 0").select("doc_id", "key", "n", "sig")
     shared = docs.sparkSession.sparkContext.broadcast(size_classes(sketch.where("chunk >= 0").select("chunk", "part", "blob")))
     able = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     index = able.select("text").mapInArrow(_index(shared, buckets, width, percent), "bucket int, blob binary")
-    lists = saved(index.groupBy("bucket").applyInPandas(_lists, "bucket int, sigs array<long>, blob binary"), "jaccard-lists")
+    bare = saved(index.groupBy("bucket").applyInPandas(_lists, "bucket int, sigs array<long>, blob binary"), "jaccard-bare")
     shared.destroy()
 
-    listed = lists.select("bucket", F.explode("sigs").alias("sig"))
+    # Most sets are alone in all their lists: only the others' bitmaps travel.
+    listed = saved(bare.select("bucket", F.explode("sigs").alias("sig")), "jaccard-listed")
+    maps = sketch.where("sig IS NOT NULL").select("sig", "bits").join(listed.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("bits").alias("bits"))
+    of_bucket = listed.join(maps, "sig").select((F.col("bucket") + 0).alias("bucket"), "sig", "bits")
+    lists = saved(bare.select("bucket", "blob").groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInPandas(_fitted, "bucket int, blob binary, maps binary"), "jaccard-lists")
+    forget(bare)
     firsts = sets.where(F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     rows_repeat = sets.groupBy("doc_id", "key").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
 
@@ -440,15 +488,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
         def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
-            for blob in left["blob"]:
-                own = Lists(blob, percent)
+            for blob, maps in zip(left["blob"], left["maps"]):
+                own = Lists(blob, maps, percent)
                 label = own.sig.copy()
                 label[np.searchsorted(own.sig, right["node"].to_numpy())] = right["component"].to_numpy()
                 a, b = select(own, label)
                 out.append(pd.DataFrame({"a": own.sig[a], "b": own.sig[b]}))
             return pd.concat(out)
 
-        return lists.select("bucket", "blob").groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(run, "a long, b long")
+        return lists.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(run, "a long, b long")
 
     # The smaller signature first, so that a pair is one row.
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -471,6 +519,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         else:
             break
     forget(lists)
+    forget(listed)
     rooted = sets.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "key", "n", F.coalesce("component", "sig").alias("root"))
     named = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -147,14 +147,45 @@ def test_jaccard_join_is_whole_after_many_or_few_rounds(docs, doc_rows, monkeypa
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_expected(doc_rows)
 
 
+def jaccard_lists(sets, percent, **columns):
+    """Lists over sets, in their order, with their bitmaps."""
+    lists = object.__new__(jaccard_join.Lists)
+    lists.sig = np.arange(len(sets), dtype=np.int64)
+    lists.size = np.array([len(s) for s in sets], np.int64)
+    lists.percent = percent
+    for name, values in columns.items():
+        setattr(lists, name, values)
+    lists.fit(b"".join(jaccard_join.bitmap(s) for s in sets))
+    return lists
+
+
 def test_jaccard_bitmaps_never_differ_in_more_bits_than_sets_in_runs():
+    """Also folded ones, of sets of unlike sizes."""
     rnd = random.Random(5)
     for _ in range(400):
-        n, shared = rnd.choice([1, 3, 40, 200, 900]), rnd.random()
+        n, shared = rnd.choice([1, 3, 40, 200, 900, 3000]), rnd.random()
         x = {rnd.getrandbits(64) for _ in range(n)}
         y = {h for h in x if rnd.random() < shared} | {rnd.getrandbits(64) for _ in range(rnd.choice([0, 1, n]))}
-        a, b = (np.frombuffer(jaccard_join.bitmap(np.array(sorted(s), np.uint64)), np.uint64) for s in (x, y))
-        assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
+        sets = [np.array(sorted(s), np.uint64) for s in (x, y)]
+        lists = jaccard_lists(sets, 80)
+        words = int(lists.words.min())
+        a, b = lists._maps(np.array([0, 1]), words)
+        assert len(a) == words and np.bitwise_count(a ^ b).sum() <= len(x ^ y)
+        for at, own in enumerate(sets):
+            bits = np.unpackbits(lists._maps(np.array([at]), words)[0].view(np.uint8))
+            assert (bits == np.bincount((own % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) % 2).all()
+
+
+def test_jaccard_bitmaps_rule_out_most_sets_that_do_not_link():
+    """Short and long, from sets that share nothing to those a little below the threshold."""
+    rng = np.random.default_rng(5)
+    for n in (300, 1000, 5000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for similar, least in ((0.0, 1.0), (0.6, 1.0), (0.74, 0.7)):
+            same = int(2 * n * similar / (1 + similar))
+            others = [np.concatenate([rng.permutation(base)[:same], rng.integers(0, 2**63, n - same).astype(np.uint64)]) for _ in range(30)]
+            lists = jaccard_lists([base, *others], 80)
+            assert (~lists.alike(np.zeros(30, np.int64), np.arange(1, 31))).mean() >= least
 
 
 def test_jaccard_lists_find_every_pair():
@@ -173,14 +204,10 @@ def test_jaccard_lists_find_every_pair():
     by_run = {}
     for h, i, p in entries:
         by_run.setdefault(h, []).append((i, p))
-    lists = object.__new__(jaccard_join.Lists)
     many = [v for v in by_run.values() if len(v) > 1]
-    lists.sig = np.arange(90, dtype=np.int64)
-    lists.size = np.array([len(sets[i]) for i in range(90)], np.int64)
-    lists.owner = np.array([i for v in many for i, _ in v], np.int64)
-    lists.place = np.array([p for v in many for _, p in v], np.int64)
-    lists.length = np.array([len(v) for v in many], np.int64)
-    lists.percent = 85
+    owner = np.array([i for v in many for i, _ in v], np.int64)
+    place = np.array([p for v in many for _, p in v], np.int64)
+    lists = jaccard_lists(list(sets.values()), 85, owner=owner, place=place, length=np.array([len(v) for v in many], np.int64))
     a, b = lists.across(np.arange(90))
     found = set(zip(a.tolist(), b.tolist()))
     for i in range(90):
