@@ -41,7 +41,7 @@ PERCENT = 85
 COUNTER_BITS = 22
 """Hashed counters of how many sets hold a run: this many in all, whatever the input's size."""
 COUNTER_CHUNK = 1 << 16
-LIST_BYTES = 16_000_000
+LIST_BYTES = 4_000_000
 """Bytes of text whose index entries one task holds, about."""
 GROUP_SETS = 20_000
 MOST_SENT = 200_000
@@ -52,7 +52,7 @@ TURNS, SEEDS = 4, 10
 LEAST_LINKED = 0.05
 """A round that links a smaller share of what it compares is the last one before the complete one: later ones
 would mostly meet the same pairs again, which the complete round looks at anyway."""
-LEAST_BITS, BITS_A_RUN = 256, 4
+LEAST_BITS, BITS_A_RUN = 256, 2
 """Bits of a set's parity bitmap: the power of two at or above so many for each run, so that a bitmap tells long
 sets apart as well as short ones."""
 BITMAP_WORDS = 500_000
@@ -266,11 +266,16 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<5I", *map(len, parts)) + b"".join(parts)]})
 
 
-def _fitted(pdf: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
+def _fitted(left: pa.Table, right: pa.Table) -> pa.Table:
     """A bucket's lists and its sets' bitmaps (sig, bits) -> the lists with the bitmaps in the sets' order."""
-    of = dict(zip(maps["sig"], maps["bits"]))
-    rows = [(bucket, blob, b"".join(of[s] for s in np.frombuffer(blob, np.int64, struct.unpack_from("<I", blob)[0] // 8, 20).tolist())) for bucket, blob in zip(pdf["bucket"], pdf["blob"])]
-    return pd.DataFrame(rows, columns=["bucket", "blob", "maps"])
+    if not left.num_rows:
+        return pa.table({"bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary()), "maps": pa.array([], pa.binary())})
+    order = np.argsort(right.column("sig").to_numpy())  # a bucket's lists name each of its sets once, in this order
+    maps = right.column("bits").take(pa.array(order)).to_pylist()
+    out = pa.table({"bucket": left.column("bucket"), "blob": left.column("blob"), "maps": pa.array([b"".join(maps)], pa.binary())})
+    del maps
+    give_back()
+    return out
 
 
 class Lists:
@@ -466,7 +471,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     listed = saved(bare.select("bucket", F.explode("sigs").alias("sig")), "jaccard-listed")
     maps = sketch.where("sig IS NOT NULL").select("sig", "bits").join(listed.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("bits").alias("bits"))
     of_bucket = listed.join(maps, "sig").select((F.col("bucket") + 0).alias("bucket"), "sig", "bits")
-    lists = saved(bare.select("bucket", "blob").groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInPandas(_fitted, "bucket int, blob binary, maps binary"), "jaccard-lists")
+    lists = saved(bare.select("bucket", "blob").groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInArrow(_fitted, "bucket int, blob binary, maps binary"), "jaccard-lists")
     forget(bare)
     firsts = sets.where(F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     rows_repeat = sets.groupBy("doc_id", "key").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
