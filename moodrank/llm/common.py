@@ -54,12 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: this cuts its lineage and
-    survives the loss of executors."""
+    survives the loss of executors. Without a codec the session's compresses it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -41,8 +41,10 @@ PERCENT = 85
 COUNTER_BITS = 22
 """Hashed counters of how many sets hold a run: this many in all, whatever the input's size."""
 COUNTER_CHUNK = 1 << 16
-LIST_BYTES = 4_000_000
+LIST_BYTES = 16_000_000
 """Bytes of text whose index entries one task holds, about."""
+PLAIN = "none"
+"""Codec of tables of long blobs that are dense already: others would hold whole pages of them outside the heap."""
 GROUP_SETS = 20_000
 MOST_SENT = 200_000
 """Up to so many sets to compare their documents' names are sent to every task, so that no other text is
@@ -263,7 +265,7 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]))
     del run, place, order, new, first, back, size
     give_back()
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [struct.pack("<5I", *map(len, parts)) + b"".join(parts)]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [zlib.compress(struct.pack("<5I", *map(len, parts)) + b"".join(parts), 1)]})
 
 
 def _fitted(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -283,6 +285,7 @@ class Lists:
     """Bitmaps of the sets, one behind the other; without them pairs go by sizes and places alone."""
 
     def __init__(self, blob: bytes, maps: bytes, percent: int):
+        blob = zlib.decompress(blob)
         cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
         self.sig = np.frombuffer(blob, np.int64, (cuts[1] - cuts[0]) // 8, cuts[0])
         self.size = plane_unpacked(blob[cuts[1] : cuts[2]]).astype(np.int64)
@@ -464,14 +467,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(size_classes(sketch.where("chunk >= 0").select("chunk", "part", "blob")))
     able = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     index = able.select("text").mapInArrow(_index(shared, buckets, width, percent), "bucket int, blob binary")
-    bare = saved(index.groupBy("bucket").applyInPandas(_lists, "bucket int, sigs array<long>, blob binary"), "jaccard-bare")
+    bare = saved(index.groupBy("bucket").applyInPandas(_lists, "bucket int, sigs array<long>, blob binary"), "jaccard-bare", PLAIN)
     shared.destroy()
 
     # Most sets are alone in all their lists: only the others' bitmaps travel.
     listed = saved(bare.select("bucket", F.explode("sigs").alias("sig")), "jaccard-listed")
     maps = sketch.where("sig IS NOT NULL").select("sig", "bits").join(listed.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("bits").alias("bits"))
     of_bucket = listed.join(maps, "sig").select((F.col("bucket") + 0).alias("bucket"), "sig", "bits")
-    lists = saved(bare.select("bucket", "blob").groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInArrow(_fitted, "bucket int, blob binary, maps binary"), "jaccard-lists")
+    lists = saved(bare.select("bucket", "blob").groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInArrow(_fitted, "bucket int, blob binary, maps binary"), "jaccard-lists", PLAIN)
     forget(bare)
     firsts = sets.where(F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     rows_repeat = sets.groupBy("doc_id", "key").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
