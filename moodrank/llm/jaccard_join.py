@@ -16,7 +16,9 @@ holds flips one bit, so the bits in which two bitmaps differ are at most the run
 than a link allows, the pair cannot link and is not listed. Sets that share only a passage, and most of those just
 below the threshold, end there, before they are rows. Bitmaps of unlike sizes meet folded to the smaller one.
 
-Equal sets are one node. Lists travel as blobs by hash range; texts of sets to compare are stored once a round.
+Equal sets are one node. Index entries travel as blobs by ranges of runs; the lists made of them travel on by their
+seeds, so that the lists of a group of copies meet in one bucket and its sets' bitmaps and labels are sent there once,
+not once for each run. Texts of sets to compare are stored once a round.
 """
 
 from __future__ import annotations
@@ -61,6 +63,12 @@ BITMAP_WORDS = 500_000
 """Words of bitmaps compared at once."""
 KEPT_BYTES = 16_000_000
 """Bytes of sets that a task verifying pairs keeps for the next ones; a larger set is kept alone."""
+LONG_LIST = 1024
+"""The lists of a group of similar sets are dealt to one bucket more for each so many sets in them."""
+PAIRS_HELD = 1_000_000
+"""Pairs that a task lists before it drops those it has twice and those that bitmaps rule out."""
+SIFTED_LIST = 256
+"""Up to so many sets in a list each is compared with all others by size and place, and left out if it can link with none."""
 BLOCK = 256
 """Entries of a list that are skipped or compared at once."""
 
@@ -107,6 +115,13 @@ def index_length(n, percent: int):
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
+def can_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m runs can link when the run at their places i and j is the first they share."""
+    behind = np.minimum(n - i, m - j)
+    indexed = np.where(n <= m, i, j) < index_length(np.minimum(n, m), percent)
+    return indexed & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (behind >= least_overlap(n, m, percent))
+
+
 def _sketch(width: int):
     """Rows (doc_id, key, n, sig, bits) of every document, and (chunk, part, blob) of the partition's counters."""
 
@@ -238,34 +253,109 @@ def _index(shared, buckets: int, width: int, percent: int):
     return run
 
 
-def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All slices of a bucket -> one row with its lists of two sets and more, and the sets in them."""
-    sigs, sizes, runs, owners, places, n = [], [], [], [], [], 0
+def _slice(blob: bytes) -> list[bytes]:
+    cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
+    return [blob[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
+def _with_others(size: np.ndarray, place: np.ndarray, first: np.ndarray, length: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, with the sets' sizes and places, can link with another of their list. Lists begin at `first`; of
+    one longer than SIFTED_LIST all can."""
+    able = np.zeros(len(size), bool)
+    for n in np.unique(length):
+        of = first[length == n]
+        if n > SIFTED_LIST:
+            able[(of[:, None] + np.arange(n)).ravel()] = True
+            continue
+        i, j = np.triu_indices(n, 1)
+        step = max(1, PAIRS_HELD // 4 // len(i))
+        for lo in range(0, len(of), step):
+            part = of[lo : lo + step, None]
+            x, y = (part + i).ravel(), (part + j).ravel()
+            ok = can_link(size[x], place[x], size[y], place[y], percent)
+            able[x[ok]] = able[y[ok]] = True
+    return able
+
+
+def _lists(buckets: int, percent: int):
+    """All slices of a bucket of runs -> (bucket, blob): its lists of two sets and more that can link, by their seeds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sigs, sizes, runs, owners, places, n = [], [], [], [], [], 0
+        for blob in pdf["blob"]:
+            own, size, run_, owner, place = _slice(blob)
+            sigs.append(np.frombuffer(own, np.int64))
+            sizes.append(plane_unpacked(size))
+            runs.append(unpacked(run_))
+            owners.append(plane_unpacked(owner).astype(np.int64) + n)
+            places.append(plane_unpacked(place))
+            n += len(sigs[-1])
+        sig, back = np.unique(np.concatenate(sigs), return_inverse=True)  # a set sent by several groups is one
+        size = np.zeros(len(sig), np.uint32)
+        size[back] = np.concatenate(sizes)
+        run_, owner, place = np.concatenate(runs), back[np.concatenate(owners)], np.concatenate(places)
+        del sigs, sizes, runs, owners, places, back
+        order = np.lexsort((owner, run_))
+        run_, owner, place = run_[order], owner[order], place[order]
+        new = np.concatenate([[True], (run_[1:] != run_[:-1]) | (owner[1:] != owner[:-1])])
+        run_, owner, place = run_[new], owner[new], place[new]
+        first = np.flatnonzero(np.concatenate([[True], run_[1:] != run_[:-1]]))
+        length = np.diff(np.concatenate([first, [len(run_)]]))
+        first, length = first[length > 1], length[length > 1]
+        able = _with_others(size[owner].astype(np.int64), place.astype(np.int64), first, length, percent)
+        if len(first):
+            left = np.concatenate([[0], np.cumsum(able)])
+            first, length = left[first], left[first + length] - left[first]
+            run_, owner, place = run_[able], owner[able], place[able]
+            first, length = first[length > 0], length[length > 0]
+        out = []
+        if len(first):
+            to = _seed_bucket(sig[owner], first, length, run_[first], buckets)
+            order = np.argsort(to, kind="stable")
+            first, length, to = first[order], length[order], to[order]
+            ends = np.cumsum(length)
+            entry = np.repeat(first - (ends - length), length) + np.arange(ends[-1])
+            owner, place = owner[entry], place[entry]
+            edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                at, end = ends[lo] - length[lo], ends[hi - 1]
+                used, own = np.unique(owner[at:end], return_inverse=True)
+                parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(own), plane_packed(place[at:end]), plane_packed(length[lo:hi]))
+                out.append((int(to[lo]), struct.pack("<5I", *map(len, parts)) + b"".join(parts)))
+        give_back()
+        return pd.DataFrame({"bucket": pd.array([b for b, _ in out], "int32"), "blob": [x for _, x in out]})
+
+    return run
+
+
+def _seed_bucket(sigs: np.ndarray, first: np.ndarray, length: np.ndarray, run: np.ndarray, buckets: int) -> np.ndarray:
+    """Lists, which begin at `first` of the entries' sigs -> the bucket of each. The lists of a group of similar sets have
+    nearly the same sets and so few different seeds, the sets of least hash: a set is named in a few buckets however
+    many there are, not in one for each of its runs. Lists of long groups are dealt to several, by their runs."""
+    before = np.cumsum(length) - length
+    seed = np.minimum.reduceat(mixed(sigs[np.repeat(first - before, length) + np.arange(length.sum())].view(np.uint64)), before)
+    part = run % (1 + length.astype(np.uint64) // np.uint64(LONG_LIST))
+    return (mixed(seed + part) % np.uint64(buckets)).astype(np.int64)
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All lists of a bucket -> one row with them and the sets in them."""
+    sigs, sizes, owners, places, lengths, n = [], [], [], [], [], 0
     for blob in pdf["blob"]:
-        cuts = np.cumsum([20, *struct.unpack_from("<5I", blob)])
-        own = np.frombuffer(blob, np.int64, (cuts[1] - cuts[0]) // 8, cuts[0])
-        sigs.append(own)
-        sizes.append(plane_unpacked(blob[cuts[1] : cuts[2]]))
-        runs.append(unpacked(blob[cuts[2] : cuts[3]]))
-        owners.append(plane_unpacked(blob[cuts[3] : cuts[4]]).astype(np.int64) + n)
-        places.append(plane_unpacked(blob[cuts[4] : cuts[5]]))
-        n += len(own)
-    sig, back = np.unique(np.concatenate(sigs), return_inverse=True)  # a set sent by several groups is one
+        own, size, owner, place, length = _slice(blob)
+        sigs.append(np.frombuffer(own, np.int64))
+        sizes.append(plane_unpacked(size))
+        owners.append(plane_unpacked(owner).astype(np.int64) + n)
+        places.append(place)
+        lengths.append(plane_unpacked(length))
+        n += len(sigs[-1])
+    sig, back = np.unique(np.concatenate(sigs), return_inverse=True)
     size = np.zeros(len(sig), np.uint32)
     size[back] = np.concatenate(sizes)
-    run, owner, place = np.concatenate(runs), back[np.concatenate(owners)], np.concatenate(places)
-    order = np.lexsort((owner, run))
-    run, owner, place = run[order], owner[order], place[order]
-    new = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])
-    run, owner, place = run[new], owner[new], place[new]
-    first = np.concatenate([[True], run[1:] != run[:-1]])
-    lengths = np.diff(np.concatenate([np.flatnonzero(first), [len(run)]]))
-    many = np.repeat(lengths > 1, lengths)
-    used, owner = np.unique(owner[many], return_inverse=True)
-    parts = (sig[used].tobytes(), plane_packed(size[used]), plane_packed(owner), plane_packed(place[many]), plane_packed(lengths[lengths > 1]))
-    del run, place, order, new, first, back, size
+    parts = (sig.tobytes(), plane_packed(size), plane_packed(back[np.concatenate(owners)]), plane_packed(np.concatenate([plane_unpacked(p) for p in places])), plane_packed(np.concatenate(lengths)))
+    del sigs, sizes, owners, places, lengths, back
     give_back()
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig[used].tolist()], "blob": [zlib.compress(struct.pack("<5I", *map(len, parts)) + b"".join(parts), 1)]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sigs": [sig.tolist()], "blob": [zlib.compress(struct.pack("<5I", *map(len, parts)) + b"".join(parts), 1)]})
 
 
 def _fitted(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -301,11 +391,7 @@ class Lists:
         self.start = np.cumsum(self.words) - self.words
 
     def can(self, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether sets a and b can link when the run at places i and j is the first they share."""
-        n, m = self.size[a], self.size[b]
-        behind = np.minimum(n - i, m - j)
-        indexed = np.where(n <= m, i, j) < index_length(np.minimum(n, m), self.percent)
-        return indexed & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (behind >= least_overlap(n, m, self.percent))
+        return can_link(self.size[a], i, self.size[b], j, self.percent)
 
     def _maps(self, sets: np.ndarray, words: int) -> np.ndarray:
         """Bitmaps of sets, each folded to so many words: a bit of the half tells whether one of its two was set."""
@@ -352,14 +438,17 @@ class Lists:
             return self.unique([])
         starts = np.cumsum(self.length) - self.length
         which = np.repeat(np.arange(len(self.length)), self.length)
-        found = []
+        kept, found, held = [], [], 0
         for k in range(SEEDS * turn or 1):
             rank = mixed(self.sig.view(np.uint64) + np.uint64(turn * 1000 + k)).argsort().argsort()[self.owner]
             seed = np.flatnonzero(rank == np.minimum.reduceat(rank, starts)[which])  # one in each list, in order
             s = seed[which]
             ok = (label[self.owner[s]] != label[self.owner]) & self.can(self.owner[s], self.place[s], self.owner, self.place)
             found.append((self.owner[s[ok]], self.owner[ok]))
-        a, b = self.sifted(found)
+            held += len(found[-1][0])
+            if held > PAIRS_HELD:
+                kept, found, held = [self.unique([*kept, self.sifted(found)])], [], 0
+        a, b = self.unique([*kept, self.sifted(found)])
         if turn and len(a):
             low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
             order = np.lexsort((mixed(self.sig[a].view(np.uint64) ^ self.sig[b].view(np.uint64)), high, low))
@@ -380,12 +469,12 @@ class Lists:
                     for pair in self._blocks(label, at, n):
                         found.append(pair)
                         held += len(pair[0])
-                        if held > 3_000_000:
+                        if held > PAIRS_HELD:
                             kept, found, held = [self.unique([*kept, self.sifted(found)])], [], 0
                 continue
             i, j = np.triu_indices(n, 1)
-            for lo in range(0, len(of), max(1, 2_000_000 // len(i))):
-                part = of[lo : lo + max(1, 2_000_000 // len(i)), None]
+            for lo in range(0, len(of), max(1, PAIRS_HELD // 4 // len(i))):
+                part = of[lo : lo + max(1, PAIRS_HELD // 4 // len(i)), None]
                 x, y = (part + i).ravel(), (part + j).ravel()
                 a, b = self.owner[x], self.owner[y]
                 ok = label[a] != label[b]
@@ -393,7 +482,7 @@ class Lists:
                 ok = self.can(a, self.place[x], b, self.place[y])
                 found.append((a[ok], b[ok]))
                 held += len(found[-1][0])
-                if held > 3_000_000:
+                if held > PAIRS_HELD:
                     kept, found, held = [self.unique([*kept, self.sifted(found)])], [], 0
         return self.unique([*kept, self.sifted(found)])
 
@@ -467,7 +556,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(size_classes(sketch.where("chunk >= 0").select("chunk", "part", "blob")))
     able = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     index = able.select("text").mapInArrow(_index(shared, buckets, width, percent), "bucket int, blob binary")
-    bare = saved(index.groupBy("bucket").applyInPandas(_lists, "bucket int, sigs array<long>, blob binary"), "jaccard-bare", PLAIN)
+    by_seed = index.groupBy("bucket").applyInPandas(_lists(buckets, percent), "bucket int, blob binary")
+    bare = saved(by_seed.groupBy("bucket").applyInPandas(_gathered, "bucket int, sigs array<long>, blob binary"), "jaccard-bare", PLAIN)
     shared.destroy()
 
     # Most sets are alone in all their lists: only the others' bitmaps travel.

@@ -217,6 +217,50 @@ def test_jaccard_lists_find_every_pair():
                 assert (j, i) in found
 
 
+@pytest.mark.parametrize("long_list", [4, 1024])
+def test_jaccard_sets_are_named_in_few_buckets(spark, monkeypatch, long_list):
+    """A group of near copies is not sent to one bucket for each run that its sets share, and none of its links is lost,
+    nor one of longer groups whose lists are dealt to several buckets."""
+    rnd = random.Random(11)
+    rows = []
+    for group in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        for copy in range(9):
+            text = list(base)
+            text[rnd.randrange(200)] = f"c{group}x{copy}"
+            rows.append((100 * group + copy, " ".join(text)))
+    listed = {}
+    keep = jaccard_join.saved
+
+    def saved(df, name, *codec):
+        out = keep(df, name, *codec)
+        if name == "jaccard-listed":
+            listed["rows"], listed["sets"] = out.count(), out.select("sig").distinct().count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "saved", saved)
+    monkeypatch.setattr(jaccard_join, "LIST_BYTES", 1000)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 100) for i, _ in rows}
+    assert listed["sets"] == len(rows)
+    assert listed["rows"] <= (4 if long_list > 9 else 12) * len(rows)
+
+
+def test_jaccard_lists_leave_out_only_what_can_link_with_none(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(jaccard_join, "SIFTED_LIST", 40)
+    length = np.concatenate([rng.integers(2, 40, 60), [41]])
+    first = np.cumsum(length) - length
+    size = rng.integers(5, 400, length.sum())
+    place = (rng.random(length.sum()) * jaccard_join.prefix_length(size, 85)).astype(np.int64)
+    able = jaccard_join._with_others(size, place, first, length, 85)
+    for at, n in zip(first[:-1], length):
+        own = range(at, at + n)
+        assert [bool(x) for x in able[at : at + n]] == [any(jaccard_join.can_link(size[x], place[x], size[y], place[y], 85) for y in own if y != x) for x in own]
+    assert not able[: first[-1]].all() and able[first[-1] :].all()
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1000 + i) for i in range(200)] + [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(250)]
